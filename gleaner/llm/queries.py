@@ -11,6 +11,7 @@ from .chat import chats
 from .common import read
 from .decontaminate import contamination
 from .mix import mixture
+from .toxicity import toxicity
 from .urls import verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +25,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(read(spark, sf_dir, "pages"))
 
@@ -77,6 +82,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_mix": op3_mix,
         "op5_decontaminate": op5_decontaminate,
+        "op7_toxicity": op7_toxicity,
         "op8_url_filter": op8_url_filter,
         "op9_chat": op9_chat,
     }
