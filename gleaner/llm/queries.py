@@ -11,6 +11,7 @@ from .chat import chats
 from .common import read
 from .decontaminate import contamination
 from .mix import mixture
+from .suffix_tree import scores
 from .toxicity import toxicity
 from .urls import verdicts
 
@@ -25,6 +26,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores(read(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -82,6 +87,7 @@ def queries() -> dict[str, Query]:
     return {
         "op3_mix": op3_mix,
         "op5_decontaminate": op5_decontaminate,
+        "op6_suffix_tree": op6_suffix_tree,
         "op7_toxicity": op7_toxicity,
         "op8_url_filter": op8_url_filter,
         "op9_chat": op9_chat,
