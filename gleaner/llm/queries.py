@@ -11,6 +11,8 @@ from .chat import chats
 from .common import read
 from .decontaminate import contamination
 from .mix import mixture
+from .pii import personal_data
+from .pii_sql import SQL as OP1_SQL
 from .suffix_tree import scores
 from .toxicity import toxicity
 from .urls import verdicts
@@ -22,6 +24,10 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(read(spark, sf_dir, "documents"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read(spark, sf_dir, "documents"))
 
@@ -85,6 +91,7 @@ from docs left join hit_words using (r) left join hit_items using (r)
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_pii": op1_pii,
         "op3_mix": op3_mix,
         "op5_decontaminate": op5_decontaminate,
         "op6_suffix_tree": op6_suffix_tree,
@@ -95,4 +102,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op9_chat": OP9_SQL}
+    return {"op1_pii": OP1_SQL, "op5_decontaminate": OP5_SQL, "op9_chat": OP9_SQL}
