@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import chats
 from .common import read
 from .decontaminate import contamination
+from .jaccard_join import groups
 from .mix import mixture
 from .pii import personal_data
 from .pii_sql import SQL as OP1_SQL
@@ -20,6 +21,29 @@ from .urls import verdicts
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups(read(spark, sf_dir, "documents"))
+
+
+OP4_SQL = r"""
+with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+sets as materialized (select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end) as s from words),
+grams as materialized (select doc_id, len(s) as n, hash(unnest(s)) as g from sets),
+ranked as (select doc_id, n, g, row_number() over (partition by doc_id order by g) as k from grams),
+prefix as materialized (select * from ranked where k <= n - cast(ceil(n * 90 / 100.0) as bigint) + 1),
+pairs as materialized (select distinct a.doc_id as a, b.doc_id as b from prefix a join prefix b using (g)
+  where a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+common as (select a, b, x.n + y.n as total, count(*) as m from pairs join grams x on x.doc_id = a join grams y on y.doc_id = b and y.g = x.g group by all),
+links as materialized (select a, b from common where 100 * m >= 90 * (total - m)),
+sides as materialized (select a, b from links union all select b, a from links),
+reach as (select a, b from sides union select r.a, e.b from reach r join sides e on r.b = e.a),
+least_of as (select a as doc_id, min(b) as m from reach group by a)
+select doc_id, cast(len(s) as bigint) as n_shingles, least(doc_id, coalesce(m, doc_id)) as component_id from sets left join least_of using (doc_id)
+"""
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -93,6 +117,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_pii": op1_pii,
         "op3_mix": op3_mix,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_decontaminate": op5_decontaminate,
         "op6_suffix_tree": op6_suffix_tree,
         "op7_toxicity": op7_toxicity,
@@ -102,4 +127,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": OP1_SQL, "op5_decontaminate": OP5_SQL, "op9_chat": OP9_SQL}
+    return {"op1_pii": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_chat": OP9_SQL}
