@@ -30,9 +30,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import components, cut, partitions
+from .common import batches_of, components, cut, partitions
 
-WIDTH, MOST_L, VERIFY_COST, LEAST_HEAVY, HEAVY_TOKENS, BROADCAST_PAIRS = 5, 4, 20, 128, 1 << 20, 1_000_000
+WIDTH, MOST_L, VERIFY_COST, LEAST_HEAVY, HEAVY_TOKENS, BROADCAST_PAIRS = 5, 4, 20, 128, 1 << 20, 500_000
+BATCH_ROWS, BATCH_PAIRS = 1000, 128
 
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -132,11 +133,23 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: in
             got = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
             yield got
 
-    return cut(left.join(right, F.col("ib") == F.col("of")).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
+    with batches_of(sets.sparkSession, BATCH_PAIRS):
+        return cut(left.join(right, F.col("ib") == F.col("of")).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"))
 
 
 def similar_documents(documents: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     """(id, doc_id, n_shingles, component_id) of each row of ``documents`` (id, doc_id, text; each row its own id). Rows with the same component_id are connected by pairs of Jaccard >= percent / 100."""
+    with batches_of(documents.sparkSession, BATCH_ROWS):  # all that runs Python runs here, in tables
+        sets, classes, ends = _joined(documents, n, percent)
+    grouped = classes.join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    names = grouped.join(least, "component").select("node", "component_id")
+    found = sets.select("id", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(names, "node", "left")
+    return found.select("id", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _joined(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table of sets, the classes of equal sets, and the components of the linked classes."""
     spark = documents.sparkSession
     sets = _sets(documents, n)
     classes = cut(sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("doc_id").alias("first_id")))
@@ -176,13 +189,7 @@ def similar_documents(documents: DataFrame, *, n: int = 3, percent: int = 90) ->
     )
     enough = (F.col("common") >= F.col("l")) & (F.col("most") * (100 + percent) >= F.col("both") * percent)
     more = _verified(met.where(enough).select("a", "b").join(stars, ["a", "b"], "left_anti"), sets, classes, percent)
-    ends = components(links.unionByName(more))
-
-    grouped = classes.join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    names = grouped.join(least, "component").select("node", "component_id")
-    found = sets.select("id", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(names, "node", "left")
-    return found.select("id", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return sets, classes, components(links.unionByName(more))
 
 
 def groups(documents: DataFrame) -> DataFrame:
