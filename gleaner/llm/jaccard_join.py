@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import batches_of, components, cut, partitions
 
-WIDTH, MOST_L, VERIFY_COST, LEAST_HEAVY, HEAVY_TOKENS, BROADCAST_PAIRS = 5, 4, 20, 128, 1 << 20, 500_000
+WIDTH, MOST_L, VERIFY_COST, LEAST_HEAVY, TOLD_FROM, HEAVY_TOKENS, BROADCAST_PAIRS = 5, 4, 20, 128, 4, 1 << 20, 500_000
 BATCH_ROWS, BATCH_PAIRS = 1000, 128
 
 
@@ -107,6 +107,31 @@ def _prefixes(sets: DataFrame, percent: int, extra: int, heavy) -> DataFrame:
     return sets.select("node", "n", "set").mapInArrow(run, "token long, node long, n int, pos int")
 
 
+def _frequent(sets: DataFrame) -> DataFrame:
+    """(token, df) of the tokens of very many sets, as a table: each part of the rows tells the tokens that
+    ``TOLD_FROM`` of its sets hold. All sets are counted, and the counts only order tokens."""
+    share = TOLD_FROM
+
+    def told(held: list[np.ndarray]) -> pa.RecordBatch:
+        token, df = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
+        return pa.RecordBatch.from_pydict({"token": token[df >= share], "df": df[df >= share].astype(np.int64)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, seen = [], 0, set()
+        for batch in batches:
+            for node, packed in zip(batch.column("node").to_pylist(), batch.column("set"), strict=True):
+                if node not in seen:
+                    seen.add(node)
+                    held.append(unpack(packed.as_buffer()))
+                    size += len(held[-1])
+            if size >= 1 << 22:
+                yield told(held)
+                held, size, seen = [], 0, set()
+        yield told(held)
+
+    return cut(sets.where("n > 0").select("node", "set").mapInArrow(run, "token long, df long").groupBy("token").agg(F.sum("df").alias("df")))
+
+
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
@@ -153,11 +178,11 @@ def _joined(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     spark = documents.sparkSession
     sets = _sets(documents, n)
     classes = cut(sets.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("doc_id").alias("first_id")))
-    counts = _prefixes(sets, percent, 0, None).groupBy("token").agg(F.count("*").alias("df"))
-    counts = cut(counts.where(F.col("df") > 1))
-    limit = max(LEAST_HEAVY, (counts.agg(F.sum("df")).first()[0] or 0) // HEAVY_TOKENS)  # so HEAVY_TOKENS tokens at most
-    often = counts.where(F.col("df") > limit).select("token").toArrow().column("token").to_numpy()
-    heavy = spark.sparkContext.broadcast(np.sort(often))
+    often = _frequent(sets)
+    limit = LEAST_HEAVY
+    while often.where(F.col("df") > limit).count() > HEAVY_TOKENS:
+        limit *= 2
+    heavy = spark.sparkContext.broadcast(np.sort(often.where(F.col("df") > limit).select("token").toArrow().column("token").to_numpy()))
 
     rows = _prefixes(sets, percent, MOST_L - 1, heavy).repartition(partitions(spark), "token").dropDuplicates(["token", "node"])
     shared = cut(rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1"))
