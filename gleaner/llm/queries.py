@@ -113,8 +113,15 @@ from docs left join hit_words using (r) left join hit_items using (r)
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
     return {
+        "pipeline": pipeline,
         "op1_pii": op1_pii,
         "op3_mix": op3_mix,
         "op4_jaccard_join": op4_jaccard_join,
