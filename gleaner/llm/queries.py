@@ -11,6 +11,7 @@ from .chat import chats
 from .common import read
 from .decontaminate import contamination
 from .jaccard_join import groups
+from .lattice import near_copies
 from .mix import mixture
 from .pii import personal_data
 from .pii_sql import SQL as OP1_SQL
@@ -52,6 +53,22 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(read(spark, sf_dir, "documents"))
 
 
+def op2_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies(read(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+with recursive units as materialized (select vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) as u
+  from (select vec_id, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings)),
+links as materialized (select a.vec_id as a, b.vec_id as b from units a join units b on a.vec_id <> b.vec_id and list_dot_product(a.u, b.u) >= 0.95),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+n as (select a as vec_id, count(*) as n from links group by a),
+m as (select a as vec_id, min(b) as m from reach group by a)
+select vec_id, coalesce(n, 0) as n_links, least(vec_id, coalesce(m, vec_id)) as component_id, vec_id = least(vec_id, coalesce(m, vec_id)) as kept
+from embeddings left join n using (vec_id) left join m using (vec_id)
+"""
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(read(spark, sf_dir, "documents"))
 
@@ -123,6 +140,7 @@ def queries() -> dict[str, Query]:
     return {
         "pipeline": pipeline,
         "op1_pii": op1_pii,
+        "op2_lattice": op2_lattice,
         "op3_mix": op3_mix,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_decontaminate": op5_decontaminate,
@@ -134,4 +152,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pii": OP1_SQL, "op4_jaccard_join": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_chat": OP9_SQL}
+    return {"op1_pii": OP1_SQL, "op2_lattice": OP2_SQL, "op4_jaccard_join": OP4_SQL, "op5_decontaminate": OP5_SQL, "op9_chat": OP9_SQL}
