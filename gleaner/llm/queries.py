@@ -16,6 +16,7 @@ from .mix import mixture
 from .pii import personal_data
 from .pii_sql import SQL as OP1_SQL
 from .suffix_tree import scores
+from .suffixes import removed
 from .toxicity import toxicity
 from .urls import verdicts
 
@@ -130,6 +131,10 @@ from docs left join hit_words using (r) left join hit_items using (r)
 """
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -148,6 +153,7 @@ def queries() -> dict[str, Query]:
         "op7_toxicity": op7_toxicity,
         "op8_url_filter": op8_url_filter,
         "op9_chat": op9_chat,
+        "op10_suffix_array": op10_suffix_array,
     }
 
 
