@@ -25,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .common import batches_of, cut, partitions
 
-LENGTH, GRAM, BUCKET, SAMPLE_DOCS = 100, 32, 50_000, 2000
+LENGTH, GRAM, BUCKET, SAMPLE_DOCS = 100, 32, 16_384, 2000
 REACH = LENGTH - GRAM  # how far before its string a window may begin
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -80,6 +81,23 @@ def _ordered(documents: DataFrame) -> DataFrame:
     return cut(docs.orderBy(F.col("doc_id").asc_nulls_last(), "text").select(place.alias("doc"), "doc_id", "text"))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """(doc, doc_id, packed): the texts compressed, for shuffles by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = pa.array([pack.compress(t.as_buffer().to_pybytes()) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("doc_id"), packed], names=["doc", "doc_id", "packed"])
+
+    return docs.mapInArrow(run, f"doc long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, packed binary")
+
+
+def _unpacked(packed: pa.Array) -> list[bytes]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(b.as_buffer().to_pybytes()) for b in packed]
+
+
 def _strings(docs: DataFrame) -> DataFrame:
     """(key, doc, pos, known) of all owning strings; of equal ones in a slice all are known to be repeated, and only one
     carries the string's own key."""
@@ -210,7 +228,7 @@ def _runs(docs: DataFrame, places: DataFrame, splitters: list[bytes], frequent:
         for batch in batches:
             ids, wanted = np.asarray(batch.column("doc")), batch.column("places")
             out: list[tuple] = []
-            for first, data, offsets in tb.slices(batch.column("text")):
+            for first, data, offsets in tb.slices(pa.array(_unpacked(batch.column("packed")), pa.large_binary())):
                 pos, begin, end, _, of = owned(data, offsets)
                 flag = np.zeros(len(data) + 1, dtype=bool)
                 for i in range(len(offsets) - 1):
@@ -226,7 +244,11 @@ def _runs(docs: DataFrame, places: DataFrame, splitters: list[bytes], frequent:
                         seen[key] = me
                         me = other
                     if me:
-                        out.append((None, me[0], me[1], me[2], b""))
+                        last = out[-1] if out else None
+                        if last and last[0] is None and last[1] == me[0] and last[2] <= me[1] <= last[2] + last[3]:
+                            out[-1] = (None, me[0], last[2], max(last[3], me[1] + me[2] - last[2]), b"")
+                        else:
+                            out.append((None, me[0], me[1], me[2], b""))
                 for (lead, text), (doc, s, _) in seen.items():
                     gram = text[lead : lead + GRAM]
                     if gram in frequent:
@@ -242,7 +264,7 @@ def _runs(docs: DataFrame, places: DataFrame, splitters: list[bytes], frequent:
                 numbers = [next(found) if isinstance(g, bytes) else g for g in bucket]
                 yield pa.RecordBatch.from_pydict({"bucket": pa.array(numbers, pa.int32()), "doc": pa.array(doc, pa.int64()), "start": pa.array(s, pa.int32()), "lead": pa.array(lead, pa.int32()), "bytes": pa.array(text, pa.binary())})
 
-    joined = docs.select("doc", "text").join(places.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of")).select("doc", "text", "places")
+    joined = _packed(docs).join(places.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of")).select("doc", "packed", "places")
     return joined.mapInArrow(run, "bucket int, doc long, start int, lead int, bytes binary")
 
 
@@ -332,13 +354,12 @@ def removed(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                data = text.as_buffer().to_pybytes()
+            for data, spans in zip(_unpacked(batch.column("packed")), batch.column("spans").to_pylist(), strict=True):
                 kept, n, runs = without(data, [(s["start"], s["end"]) for s in spans or ()])
                 out.append((len(data), n, runs, hashlib.sha256(kept).hexdigest()))
             if out:
                 size, n, runs, digest = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = docs.join(ends.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("doc_id", "text", "spans")
+    joined = _packed(docs).join(ends.withColumnRenamed("doc", "of"), F.col("doc") == F.col("of"), "left").select("doc_id", "packed", "spans")
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
