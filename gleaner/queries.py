@@ -236,10 +236,11 @@ _LIST = ", ".join(_NAMES)
 
 def oracle_sql() -> dict[str, str]:
     chunk_columns = f"select {_CHUNK_ID}, document_id, chunk_index, text, start_offset, end_offset from chunks"
-    fixed = _chunks("docs", "chunks", f"""cut as (select document_id, regexp_extract_all(text, '{T}') as m, regexp_split_to_array(text, '{T}') as g, text as t from docs),
-placed as (select document_id, t, m, i, coalesce(list_sum(list_transform(g[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as at_ from cut, unnest(range(1, len(m) + 1)) as u(i)),
-starts as (select * from placed where (i - 1) % 40 = 0),
-chunks_raw as (select s.document_id, s.i as pos, s.at_ as start, substr(s.t, cast(s.at_ + 1 as bigint), cast(e.at_ + length(e.m[e.i]) - s.at_ as bigint)) as raw from starts s join placed e on s.document_id = e.document_id and e.i = least(s.i + 49, len(s.m)))""")
+    fixed = _chunks("docs", "chunks", f"""cut as (select document_id, text as t, regexp_extract_all(text, '{T}') as m, regexp_split_to_array(text, '{T}') as g from docs),
+toks as (select document_id, len(m) as n, unnest(m) as w, unnest(g[1:len(m)]) as gap, generate_subscripts(m, 1) as i from cut),
+placed as (select document_id, n, i, w, cast(sum(length(gap) + length(w)) over (partition by document_id order by i) - length(w) as bigint) as at_ from toks),
+chunks_raw as (select s.document_id, s.i as pos, s.at_ as start, substr(t, s.at_ + 1, e.at_ + length(e.w) - s.at_) as raw from placed s
+  join placed e on s.document_id = e.document_id and e.i = least(s.i + 49, s.n) join cut on cut.document_id = s.document_id where (s.i - 1) % 40 = 0)""")
     return {
         "ingest_document_metadata": f"with {_DOCS} select document_id, length(text) as character_count, sha256(text) as content_hash from docs",
         "chunk_paragraph": f"with {_TRANSCRIPTS}, {_paragraphs('docs', 'chunks')} {chunk_columns}",
