@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import let, starts
+
 from .common import ascii_lower, cut
 
 REACH, SUPPORT, LETTERS = 64, 2, 3
@@ -37,28 +39,23 @@ PATTERNS = {
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 VALID_IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_BLOCK = 256
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
 def located(matches: Column, gaps: Column) -> Column:
     """Spans of matches from the texts between them. Lengths are summed by blocks, so that many matches in a text
     cost little more than linear time."""
-    sizes = F.transform(matches, lambda m, i: F.length(m) + F.length(F.element_at(gaps, i + 1)))
 
-    def total(c: Column) -> Column:
-        return F.aggregate(c, F.lit(0), lambda a, x: a + x)
+    def spans(v: Column) -> Column:
+        before = F.transform(v["m"], lambda m, i: F.length(m) + F.length(F.get(v["g"], i)))
 
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / _BLOCK).cast("int")), lambda b: total(F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK)))
-    )
+        def span(m: Column, i: Column, at: Column) -> Column:
+            start = F.get(at, i) + F.length(F.get(v["g"], i))
+            return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
 
-    def span(m: Column, i: Column) -> Column:
-        before = F.floor(i / _BLOCK).cast("int")
-        end = total(F.slice(blocks, F.lit(1), before)) + total(F.slice(sizes, before * _BLOCK + 1, i - before * _BLOCK + 1))
-        return F.struct((end - F.length(m)).alias("start"), end.alias("end"), m.alias("value"))
+        return let(starts(before), lambda at: F.transform(v["m"], lambda m, i: span(m, i, at)))
 
-    return F.transform(matches, span)
+    return let(F.struct(matches.alias("m"), gaps.alias("g")), spans)
 
 
 def digits(c: Column) -> Column:
