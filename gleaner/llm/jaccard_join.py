@@ -185,25 +185,26 @@ def _joined(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     heavy = spark.sparkContext.broadcast(np.sort(often.where(F.col("df") > limit).select("token").toArrow().column("token").to_numpy()))
 
     rows = _prefixes(sets, percent, MOST_L - 1, heavy).repartition(partitions(spark), "token").dropDuplicates(["token", "node"])
-    shared = cut(rows.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1"))
+    of_token, of_node = Window.partitionBy("token"), Window.partitionBy("node")
+    shared = rows.withColumns({"df": F.count("*").over(of_token), "first": F.min(F.struct("pos", "node", "n")).over(of_token)}).where("df > 1")
     base = F.col("n") - ceil_share(F.col("n"), percent)
-    sums = [F.sum(F.when(F.col("pos") < base + l, F.col("df") - 1)).alias(f"s{l}") for l in range(1, MOST_L + 1)]
+    sums = [F.sum(F.when(F.col("pos") < base + l, F.col("df") - 1)).over(of_node).alias(f"s{l}") for l in range(1, MOST_L + 1)]
     cost = [F.when(F.lit(l) <= ceil_share(F.col("n"), percent), F.coalesce(f"s{l}", F.lit(0)) * F.lit(1 + VERIFY_COST / l)) for l in range(1, MOST_L + 1)]
-    matches = shared.groupBy("node", "n").agg(*sums).select("node", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int").alias("l"))
-    prefix = cut(shared.join(matches, "node").where(F.col("pos") < base + F.col("l")).select("token", "node", "n", "pos", "l"))
+    matches = shared.select("token", "node", "n", "pos", F.col("first.node").alias("first_node"), F.col("first.n").alias("first_n"), *sums)
+    matches = matches.withColumn("l", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int"))
+    prefix = cut(matches.where(F.col("pos") < base + F.col("l")).select("token", "node", "n", "pos", "l", "first_node", "first_n"))
 
     # first round: each token's documents against the one that has the fewest tokens before it
-    leader = prefix.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("first"))
     stars = (
-        prefix.join(leader, "token").where((F.col("node") != F.col("first.node")) & _similar_sizes(F.col("n"), F.col("first.n"), percent))
-        .select(F.least("node", "first.node").alias("a"), F.greatest("node", "first.node").alias("b")).groupBy("a", "b").count().drop("count")
+        prefix.where((F.col("node") != F.col("first_node")) & _similar_sizes(F.col("n"), F.col("first_n"), percent))
+        .select(F.least("node", "first_node").alias("a"), F.greatest("node", "first_node").alias("b")).groupBy("a", "b").count().drop("count")
     )
     stars = cut(stars)
     links = _verified(stars, sets, classes, percent)
     now = components(links)
 
     # second round: all pairs of unconnected documents that share enough prefix tokens
-    placed = prefix.join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = prefix.drop("first_node", "first_n").join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     left = cut(placed.join(open_tokens, "token"))
     a, b = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "l", "component")]) for s in "ab")
