@@ -203,12 +203,17 @@ def _joined(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, Data
     links = _verified(stars, sets, classes, percent)
     now = components(links)
 
-    # second round: all pairs of unconnected documents that share enough prefix tokens
+    # second round: all pairs of unconnected documents that share enough prefix tokens. A pair that has o common tokens
+    # or more has the first l of them where at least o - l tokens follow, in both documents: other places don't count
     placed = prefix.drop("first_node", "first_n").join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_tokens = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     left = cut(placed.join(open_tokens, "token"))
     a, b = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "l", "component")]) for s in "ab")
-    met = a.join(b, "token").where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent))
+    both, l = F.col("n_a") + F.col("n_b"), F.least("l_a", "l_b")
+    early = [(F.col(f"n_{x}") - F.col(f"pos_{x}") + l - 1) * (100 + percent) >= both * percent for x in "ab"]
+    met = a.join(b, "token").where(
+        (F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b")) & _similar_sizes(F.col("n_a"), F.col("n_b"), percent) & early[0] & early[1]
+    )
     met = met.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(
         F.count("*").alias("common"), F.first(F.least("l_a", "l_b")).alias("l"),
         F.least(F.first("n_a") - F.min("pos_a"), F.first("n_b") - F.min("pos_b")).alias("most"), F.first(F.col("n_a") + F.col("n_b")).alias("both"),
