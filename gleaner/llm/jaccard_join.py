@@ -164,15 +164,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, classes: DataFrame, percent: in
 
 def similar_documents(documents: DataFrame, *, n: int = 3, percent: int = 90) -> DataFrame:
     """(id, doc_id, n_shingles, component_id) of each row of ``documents`` (id, doc_id, text; each row its own id). Rows with the same component_id are connected by pairs of Jaccard >= percent / 100."""
-    with batches_of(documents.sparkSession, BATCH_ROWS):  # all that runs Python runs here, in tables
-        sets, classes, ends = _joined(documents, n, percent)
-    grouped = classes.join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sets, grouped = _grouped(documents, n, percent)
     least = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = grouped.join(least, "component").select("node", "component_id")
     found = sets.select("id", "doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(names, "node", "left")
     return found.select("id", "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _grouped(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The table of sets, and (node, id, first_id, component) of each class; a component is its least node, whatever
+    the doc_ids are."""
+    with batches_of(documents.sparkSession, BATCH_ROWS):  # all that runs Python runs here, in tables
+        sets, classes, ends = _joined(documents, n, percent)
+    return sets, classes.join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
 def _joined(documents: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The table of sets, the classes of equal sets, and the components of the linked classes."""
     spark = documents.sparkSession
@@ -231,8 +237,8 @@ def groups(documents: DataFrame) -> DataFrame:
 def one_of_each(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one row of each group of near copies, the one of the least doc_id; empty texts all stay."""
     marked = cut(documents.withColumn("_id", F.monotonically_increasing_id()))
-    found = similar_documents(marked.select(F.col("_id").alias("id"), "doc_id", "text"), n=n, percent=percent).where("n_shingles > 0")
-    found = cut(found.select("id", "doc_id", "component_id"))
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "id")).alias("f"))
-    dropped = found.join(first.withColumnRenamed("component_id", "of"), F.col("component_id").eqNullSafe(F.col("of"))).where(F.col("id") != F.col("f.id")).select(F.col("id").alias("_id"))
+    sets, grouped = _grouped(marked.select(F.col("_id").alias("id"), "doc_id", "text"), n, percent)
+    found = cut(sets.where("n > 0").select("id", "doc_id", "node").join(grouped.select("node", "component"), "node").select("id", "doc_id", "component"))
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("f"))
+    dropped = found.join(first, "component").where(F.col("id") != F.col("f.id")).select(F.col("id").alias("_id"))
     return marked.join(dropped, "_id", "left_anti").select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -116,6 +116,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 3, 4, 5] and got.columns == ["doc_id", "text", "source", "node", "id"]
 
 
+def test_different_texts_with_null_or_repeated_ids_stay(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcde"]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[2]), (1, texts[3]), (3, texts[4]), (None, texts[4])]
+    got = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["text"] for r in got.collect()) == texts
+
+
 def test_contamination_by_brute_force(spark):
     rng, texts = random.Random(9), prose(30, words=80)
     items = [" ".join((texts[i] or "").split()[5:25]) for i in range(8)] + ["a b", None, "", "..."]
