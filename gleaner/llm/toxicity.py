@@ -1,16 +1,16 @@
 """Toxicity of texts after noisy-channel restoration of obfuscated words.
 
-1. A character language model (order ``ORDER``) is counted on the words of a bounded sample of labelled rows.
+1. A character language model (order ``ORDER``) is counted on the words of all labelled training rows.
 2. Tokens that look obfuscated (digits or signs among letters, a letter three times or more in a row, letters spaced
    out one by one) become a lattice of what each character may stand for; Viterbi decoding under the language model
    picks the reading. All other text stays.
 3. Words of the restored text and their beginnings are hashed to ``2 ** BITS`` features. For all labelled training rows
    it is counted in how many documents of either label each feature stands; the ``FEATURES`` features most tied to
    the toxic label (by the log-likelihood ratio, ``LEAST_G2`` at least) are kept.
-4. Logistic regression on the presence of these features, on the sample. The score of a text is its probability.
+4. Logistic regression on the presence of these features, on a bounded sample of labelled rows. The score of a text is its probability.
 
 Bounds: the sample has at most ``SAMPLE`` rows (half of each label, by the hash of doc_id); the model is ``FEATURES``
-weights and the n-grams of the sample's words. The counts of step 3 cover every training row and every whole text.
+weights and the n-grams of the words. The counts of steps 1 and 3 cover every training row and every whole text.
 
 Defined cases: null and empty texts are scored like texts without any feature; rows without a doc_id are scored, never
 trained on; a label table that repeats a document counts it once, toxic if any row says so; null labels are ignored;
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 BITS, FEATURES, LEAST_G2, SAMPLE, ORDER, REJECT_AT = 20, 8192, 24.0, 8000, 4, 0.7
-BROADCAST_LABELS = 2_000_000
+BROADCAST_LABELS, FLUSH = 2_000_000, 1 << 16
 PREFIXES = (4, 5, 6)
 
 #: What signs and digits may stand for.
@@ -276,14 +276,20 @@ def train(documents: DataFrame, labels: DataFrame, *, bits: int = BITS, n_featur
     sample = rows.where("sampled")
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counted(words: Counter) -> pa.RecordBatch:
+            grams = CharModel.grams(words)
+            return pa.RecordBatch.from_pydict({"gram": pa.array([*grams], pa.string()), "n": pa.array([float(n) for n in grams.values()], pa.float64())})
+
         words: Counter = Counter()
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 words.update(w.lower() for w in text.replace(",", " ").replace(".", " ").split() if w.isalpha())
-        grams = CharModel.grams(words)
-        yield pa.RecordBatch.from_pydict({"gram": pa.array([*grams], pa.string()), "n": pa.array([float(n) for n in grams.values()], pa.float64())})
+                if len(words) >= FLUSH:
+                    yield counted(words)
+                    words.clear()
+        yield counted(words)
 
-    grams = sample.select("text").mapInArrow(count_grams, "gram string, n double").groupBy("gram").agg(F.sum("n").alias("n"))
+    grams = rows.select("text").mapInArrow(count_grams, "gram string, n double").groupBy("gram").agg(F.sum("n").alias("n"))
     chars = CharModel({r["gram"]: r["n"] for r in grams.toLocalIterator()})
     shared = spark.sparkContext.broadcast(chars)
 

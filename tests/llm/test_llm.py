@@ -167,6 +167,14 @@ def test_restoration_and_score(spark):
     assert (scores[:5] >= 0.7).all() and (scores[5:] < 0.7).all()
 
 
+def test_character_model_counts_all_labelled_rows(spark):
+    texts = [f"{'plain words here' if i % 2 else 'zyxquarg idiot'} w{i}" for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, toxic int")
+    docs = documents(spark, texts)
+    few, all_rows = (toxicity.train(docs, labels, sample_rows=n).chars for n in (4, 100))
+    assert few.counts == all_rows.counts and few.counts["zyx"] == 20
+
+
 def test_url_rules_and_model(spark):
     said = {
         "http://a.net/x": "net/", "http://a.example.net/en/1": "example.net/en/", "http://example.com/de/": "example.com/de/", "http://B.ORG/fr/x?q": "org/fr/",
