@@ -13,7 +13,7 @@ that share enough prefix tokens, so no link between different components is lost
 common after the first shared token) only drop pairs that can't reach t. Sets of the pairs that are left are compared
 whole.
 
-Hashes of ``WIDTH`` bytes stand for n-grams; a class is known by 64 bits of its whole set.
+Hashes of 64 bits stand for n-grams; a class is known by 64 bits of its whole set.
 
 Defined cases: texts without words, and null ones, are empty and linked with nothing; fewer words than n are one token;
 repeated rows and equal texts are copies; rows without doc_id get the component id of their group's least doc_id, or
@@ -32,28 +32,25 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .common import batches_of, components, cut, partitions
 
-WIDTH, MOST_L, VERIFY_COST, LEAST_HEAVY, TOLD_FROM, HEAVY_TOKENS, BROADCAST_PAIRS = 5, 4, 20, 128, 4, 1 << 20, 500_000
+MOST_L, VERIFY_COST, LEAST_HEAVY, TOLD_FROM, HEAVY_TOKENS, BROADCAST_PAIRS = 4, 20, 128, 4, 1 << 20, 500_000
 BATCH_ROWS, BATCH_PAIRS = 1000, 128
 
 
 def token_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted set of each text's tokens, cut to ``WIDTH`` bytes."""
-    drop = np.uint64(64 - 8 * WIDTH)
+    """The sorted set of each text's tokens."""
     for _, count, h, at in tb.word_hashes(texts, tb.NOT_SPACE):
-        g = tb.gram_hash(h, n) >> drop
+        g = tb.gram_hash(h, n)
         for i in range(count):
             a, b = int(at[i]), int(at[i + 1])
-            yield np.unique(g[a : b - n + 1]) if b - a >= n else tb.gram_hash(h[a:b], b - a) >> drop if b > a else g[:0]
+            yield np.unique(g[a : b - n + 1]) if b - a >= n else tb.gram_hash(h[a:b], b - a) if b > a else g[:0]
 
 
 def pack(s: np.ndarray) -> bytes:
-    return s.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :].tobytes()
+    return s.astype("<u8").tobytes()
 
 
 def unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // WIDTH, 8), dtype=np.uint8)
-    out[:, 8 - WIDTH :] = np.frombuffer(b, dtype=np.uint8).reshape(-1, WIDTH)
-    return out.view(">u8").ravel().astype(np.int64)
+    return np.frombuffer(b, dtype="<i8")
 
 
 def class_key(s: np.ndarray) -> int:

@@ -110,6 +110,11 @@ def test_jaccard_join_by_brute_force(spark):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == [(len(s), t) for s, t in zip(sets, top, strict=True)]
 
 
+def test_long_texts_lose_no_shingle():
+    (s,) = jaccard_join.token_sets(pa.array([" ".join(map(str, range(3_000_000)))]), 3)
+    assert len(s) == 2_999_998 and (jaccard_join.unpack(jaccard_join.pack(s)) == s.view(np.int64)).all()
+
+
 def test_one_of_each_group_stays(spark):
     text = "one two three four five six seven eight nine ten eleven twelve"
     got = jaccard_join.one_of_each(documents(spark, [text, text, text + " more", "else entirely", None, None]))
