@@ -8,8 +8,12 @@ context; over the whole corpus
     PMI(t; e) = log(n(e, t) N / (n(t) n(e)))          IC(e) = log(N / n(e))
 
 and t discloses e if n(e, t) >= ``SUPPORT`` and PMI(t; e) >= 3/4 IC(e), that is, (n(e, t) / n(t))**4 N >= n(e). Such
-words are spans of kind ``term`` where they stand in a context of e. In the sanitised text base spans become the name
-of their kind; terms that disclose e wholly (PMI = IC) are removed, the others generalised to ``<term>``.
+words are spans of kind ``term`` where they stand in a context of e.
+
+``sanitised`` takes whole documents instead of contexts: n(e, t) = documents that mention e and hold t outside base
+spans, and a term that discloses any entity is replaced wherever it stands, in documents without mentions too. Base
+spans become the name of their kind; terms that disclose an entity wholly (PMI = IC) are removed, the others
+generalised to ``<term>``.
 
 Patterns are written with possessive loops and an anchor for where matches may begin; they match what the plain ones
 match, without backtracking over long runs and without recursion.
@@ -21,6 +25,8 @@ points and words that touch base spans disclose nothing; an empty table gives an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +34,7 @@ from gleaner.functions.text import let, starts
 
 from .common import ascii_lower, cut
 
-REACH, SUPPORT, LETTERS = 64, 2, 3
+REACH, SUPPORT, LETTERS, BROADCAST_TERMS = 64, 2, 3, 500_000
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -183,16 +189,51 @@ def personal_data(documents: DataFrame) -> DataFrame:
     )
 
 
+def _terms_of(text: Column, base: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """The words of a text outside its base spans, with where they stand; of them those that are ``wanted``."""
+
+    def words(lower: Column) -> Column:
+        found = F.filter(
+            _spans(lower, F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)), TERM),
+            lambda w: (F.length(w["value"]) >= LETTERS) & (wanted(w["value"]) if wanted else F.lit(True)),
+        )
+        return F.filter(found, lambda w: ~F.exists(base, lambda b: (w["start"] <= b["end"]) & (b["start"] <= w["end"])))
+
+    return let(ascii_lower(text), words)
+
+
+def disclosing(found: DataFrame, *, support: int = SUPPORT) -> DataFrame:
+    """(term, whole) of the terms that disclose an entity by whole documents; ``found``: _row, text, _base of all."""
+    vocabulary = found.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
+    holding = vocabulary.where(F.length("term") >= LETTERS).groupBy("term").agg(F.count("*").alias("n_t"))
+    # n(e, t) is n(e) at most: entities of fewer mentions than the support have no terms
+    entities = cut(found.where(F.size("_base") > 0).select("_row", F.explode(F.array_distinct(F.transform("_base", lambda b: b["entity"]))).alias("entity")))
+    of = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    telling = cut(entities.join(of, "entity").select("_row", "entity", "n_e"))
+    rows = telling.groupBy("_row").agg(F.collect_list(F.struct("entity", "n_e")).alias("_e"))
+    held = found.join(rows, "_row").select("_e", F.explode(F.array_distinct(F.transform(_terms_of(F.col("text"), F.col("_base")), lambda w: w["value"]))).alias("term"))
+    pairs = held.select("term", F.explode("_e").alias("e")).groupBy("e.entity", "e.n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    n, share = found.count(), F.col("n_et") / F.col("n_t")
+    told = pairs.join(holding, "term").where(share * share * share * share * F.lit(float(n)) >= F.col("n_e"))
+    return told.groupBy("term").agg(F.max(F.col("n_et") == F.col("n_t")).alias("whole"))
+
+
 def sanitised(documents: DataFrame, *, support: int = SUPPORT) -> DataFrame:
     """``documents`` with the personal data and disclosing terms of ``text`` replaced or removed."""
-    found, terms = spans(documents, support=support, keep=documents.columns)
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    clean = found.where(F.size("_base") == 0).select(*columns)
-    touched = found.where(F.size("_base") > 0).join(terms, F.col("_row") == F.col("_of"), "left")
+    found = cut(detect(documents).select(*columns, "_row", "_base"))
+    told = cut(disclosing(found, support=support))
+    small = F.broadcast if told.count() <= BROADCAST_TERMS else (lambda df: df)
+    words = found.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
+    hits = words.join(small(told), "term").groupBy(F.col("_row").alias("_of"))
+    hits = cut(hits.agg(F.collect_list(F.when(F.col("whole"), F.col("term"))).alias("_whole"), F.collect_list("term").alias("_told")))
+    touched = found.join(hits, F.col("_row") == F.col("_of"), "left")
+    none = F.array().cast("array<string>")
+    terms = F.when(F.col("_told").isNotNull(), _terms_of(F.col("text"), F.col("_base"), lambda w: F.array_contains("_told", w))).otherwise(F.array().cast(SPAN))
     cuts = F.array_sort(
         F.concat(
             F.transform("_base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("<"), b["kind"], F.lit(">")).alias("to"))),
-            F.transform(F.coalesce("_terms", F.array().cast("array<struct<start:int,end:int,whole:boolean>>")), lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["whole"], "").otherwise("<term>").alias("to"))),
+            F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(F.array_contains(F.coalesce("_whole", none), t["value"]), "").otherwise("<term>").alias("to"))),
         )
     )
 
@@ -204,5 +245,5 @@ def sanitised(documents: DataFrame, *, support: int = SUPPORT) -> DataFrame:
         )
 
     done = F.aggregate(cuts, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), replace, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)))
-    new = touched.withColumn("_new", done)
-    return clean.unionByName(new.select(*[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns]))
+    new = touched.withColumn("_new", F.when((F.size("_base") > 0) | F.col("_told").isNotNull(), done).otherwise(F.col("text")))
+    return new.select(*[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])

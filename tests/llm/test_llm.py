@@ -54,6 +54,14 @@ def test_terms_that_disclose_are_spans_and_are_replaced(spark):
     assert clean[0] == "write to  at <email> now" and clean[2] == texts[2]
 
 
+def test_disclosing_terms_are_replaced_in_whole_documents(spark):
+    far = "so it goes on and on " * 8
+    texts = [f"zyxname is here {far} me@home.org"] * 2 + [f"mail me@home.org {far} of qquarg"] * 2 + ["only Qquarg, no address"] + [f"{far} is here mail address only of"] * 60
+    clean = [r["text"] for r in pii.sanitised(documents(spark, [*texts, None])).orderBy("doc_id").collect()]
+    assert clean[0] == f" is here {far} <email>" and clean[2] == f"mail <email> {far} of <term>"
+    assert clean[4] == "only <term>, no address" and clean[5:] == [*texts[5:], None]
+
+
 def test_many_matches_have_right_places(spark):
     text = " ".join(f"u{i}@h.org" for i in range(700))
     got = pii.personal_data(documents(spark, [text])).first()
