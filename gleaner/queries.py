@@ -102,7 +102,7 @@ def candidate_dedupe(spark, d):
 
 
 def html_text(spark, d):
-    return _read(spark, d, "pages").select("page_id", web.page_text(F.col("html"), S.max_source_chars).alias("text"))
+    return _read(spark, d, "pages").select("page_id", web.page_text(F.col("html"), 0).alias("text"))
 
 
 def strip_markup(spark, d):

@@ -105,3 +105,12 @@ def test_entry_imports():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_html_text_query_reads_whole_pages(spark, tmp_path):
+    from gleaner.queries import html_text
+
+    rows = [(1, f"<html><body><p>{'word ' * 6000}end</p></body></html>")]
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    (got,) = html_text(spark, str(tmp_path)).collect()
+    assert len(got["text"]) == 30_003 and got["text"].endswith("end")
