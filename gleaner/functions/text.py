@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 #: The 29 code points that count as white space.
 SPACE_SET = r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 SPACE, TOKEN = f"[{SPACE_SET}]", f"[^{SPACE_SET}]+"
-_BLOCK = 256
+SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+_BLOCK = 32
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -19,11 +20,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
+    return F.filter(F.split(c, f"{SPACE}+", -1), lambda w: w != "")
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapse(c: Column) -> Column:
@@ -38,6 +39,19 @@ def round4(c: Column) -> Column:
     return F.rint(c * 10000) / 10000
 
 
+def two_digits(c: Column) -> Column:
+    """A score (not negative, rounded to four digits) with two: rounded by the exact value that the double has, and only
+    a true tie to the even digit. The sign of the rest is exact, as both parts of the double times 10000 are."""
+
+    def of(x: Column, high: Column) -> Column:
+        k = F.rint(x * 10000)
+        rest = (high * 10000 - k) + (x - high) * 10000
+        up = F.signum(rest) + 0.5 * (F.floor(k / 100) % 2) > 0  # where the last two of the four digits are 50
+        return F.format_string("%.2f", F.floor((k + 49 + up.cast("int")) / 100) / 100)
+
+    return let(c, lambda x: let(x * 134217729.0 - (x * 134217729.0 - x), lambda high: of(x, high)))
+
+
 def short_id(*parts: Column, separator: str = ":") -> Column:
     return F.substring(F.sha2(F.concat_ws(separator, *[p.cast("string") for p in parts]), 256), 1, 16)
 
@@ -61,23 +75,26 @@ def shingles(c: Column, n: int) -> Column:
     return let(words(F.lower(c)), grams)
 
 
-def starts(sizes: Column) -> Column:
-    """Sums of all earlier elements; by blocks, so long arrays cost little more than linear time."""
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+def _earlier(a: Column, levels: int) -> Column:
+    """Sums of all earlier elements: within blocks element by element, and of the blocks by the same rule, so that an
+    element costs about half a block at each level."""
+    if not levels:
+        return F.transform(a, lambda x, i: _total(F.slice(a, F.lit(1), i)))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / _BLOCK).cast("int")), lambda b: F.slice(a, b * _BLOCK + 1, F.lit(_BLOCK)))
 
-    def sums(sizes: Column, blocks: Column) -> Column:
-        def before(x: Column, i: Column) -> Column:
-            full = F.floor(i / _BLOCK).cast("int")
-            return total(F.slice(blocks, F.lit(1), full)) + total(F.slice(sizes, full * _BLOCK + 1, i - full * _BLOCK))
+    def joined(blocks: Column, before: Column) -> Column:
+        return F.flatten(F.transform(blocks, lambda block, j: let(F.get(before, j), lambda n: F.transform(block, lambda x, i: n + _total(F.slice(block, F.lit(1), i))))))
 
-        return F.transform(sizes, before)
+    return let(blocks, lambda of: let(_earlier(F.transform(of, _total), levels - 1), lambda before: joined(of, before)))
 
-    def by_block(sizes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.floor(F.size(sizes) / _BLOCK).cast("int")), lambda b: total(F.slice(sizes, b * _BLOCK + 1, F.lit(_BLOCK))))
 
-    return let(sizes, lambda s: let(by_block(s), lambda b: sums(s, b)))
+def starts(sizes: Column) -> Column:
+    """Sums of all earlier elements of an array of whole numbers, in linear time up to ``_BLOCK ** 3`` elements."""
+    return let(sizes, lambda a: F.when(F.size(a) == 0, F.array().cast("array<int>")).otherwise(_earlier(a, 2)))
 
 
 def abstract_text(positions: Column) -> Column:
@@ -92,10 +109,19 @@ def abstract_text(positions: Column) -> Column:
 
 
 def result_url(href: Column) -> Column:
-    """The target of a search result's link, or null: redirects are resolved, the search site itself is refused."""
-    whole = F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(F.lit("https://duckduckgo.com"), href)).otherwise(href)
-    host, target = F.lower(F.regexp_extract(whole, r"^https?://([^/?#]*)", 1)), F.regexp_extract(whole, r"[?&]uddg=([^&#]*)", 1)
-    own = host.rlike(r"(^|\.)duckduckgo\.com$")
-    out = F.when(own & (target != ""), F.url_decode(target)).when(~own, whole)
-    bad = ~out.rlike(r"^https?://[^/?#]") | F.lower(F.regexp_extract(out, r"^https?://([^/?#]*)", 1)).rlike(r"(^|\.)duckduckgo\.com$")
-    return F.when(~bad, out)
+    """The target of a search result's link, or null: redirects (``/l/?uddg=`` of the search site) are decoded twice, as
+    a query's value and as a quoted address; the search site itself and other schemes than http are refused. What
+    can't be decoded is null."""
+    site = "duckduckgo.com"
+    whole = F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(F.lit(f"https://{site}"), href)).otherwise(href)
+
+    def part(url: Column, which: str) -> Column:  # of an address: scheme, host with port, path, query
+        return F.regexp_extract(url, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?", ("scheme", "host", "path", "query").index(which) + 1)
+
+    decode = F.try_url_decode
+    plus_kept = lambda c: decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    redirect = part(whole, "host").endswith(site) & part(whole, "path").startswith("/l/")
+    target = F.regexp_extract(part(whole, "query"), "(?:^|&)uddg=([^&]+)", 1)
+    out = F.when(redirect, plus_kept(decode(target))).otherwise(whole)
+    good = F.lower(part(out, "scheme")).isin("http", "https") & ~part(out, "host").endswith(site)
+    return F.when(good, out)

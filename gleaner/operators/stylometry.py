@@ -9,7 +9,7 @@ from gleaner.functions.text import SPACE, let, round4, short_id, strip, words
 from gleaner.settings import Settings
 
 SENTENCE = f"(?<=[.!?]){SPACE}+"
-#: Signals and their weights, in the order of the report.
+#: Signals and their weights, in the order of the report.
 WEIGHTS = {
     "sentence_length_uniformity": 1.0, "short_sentence_ratio": 1.0, "long_sentence_ratio": 1.0,
     "lexical_diversity": 1.0, "sentence_start_repetition": 0.6, "avg_word_length_uniformity": 1.0,
@@ -69,26 +69,102 @@ def weighted(names: dict[str, Column]) -> Column:
     return top / F.lit(total)
 
 
+#: What a signal says where it is triggered, and where it isn't.
+TOLD = {
+    "sentence_length_uniformity": (
+        "Sentences are almost all of one length.",
+        "The lengths of sentences are varied.",
+    ),
+    "short_sentence_ratio": (
+        "Very short sentences make up much of the text, as in lists and forms.",
+        "The share of short sentences is typical.",
+    ),
+    "long_sentence_ratio": (
+        "Very long sentences make up much of the text.",
+        "The share of long sentences is typical.",
+    ),
+    "lexical_diversity": (
+        "The same words come back very often.",
+        "The choice of words is varied.",
+    ),
+    "sentence_start_repetition": (
+        "Many sentences begin with the same word, as if from a template.",
+        "The openings of sentences are varied.",
+    ),
+    "avg_word_length_uniformity": (
+        "Words are about equally long in every sentence.",
+        "The lengths of words look natural.",
+    ),
+}
+NOTHING_FOUND = "No signal is raised in this chunk."
+CAVEAT = "struct<code:string,message:string,severity:string,scope:string>"
+STYLE_ONLY = "Style signals only: they don't replace a reading by a person."
+SHORT_TEXT = "Signals of short documents are less reliable."
+EXPLAINED = 3
+
+
+def _texts(which: int) -> Column:
+    return F.create_map(*[F.lit(x) for name, said in TOLD.items() for x in (name, said[which])])
+
+
+def triggered(settings: Settings, suffix: str = "") -> Column:
+    """The names of the triggered signals, in the order of the report."""
+    return F.array_compact(F.array(*[F.when(F.col(f"{n}{suffix}") >= settings.signal_trigger, F.lit(n)) for n in WEIGHTS]))
+
+
+def explanation(names: Column) -> Column:
+    first = F.transform(F.slice(names, 1, EXPLAINED), lambda n: F.element_at(_texts(0), n))
+    return F.when(F.size(names) == 0, NOTHING_FOUND).otherwise(F.array_join(first, " "))
+
+
+def caveats(n_words: Column, settings: Settings = Settings()) -> Column:
+    """array of (code, message, severity, scope) for an analysed document of so many words."""
+    one = lambda code, message, severity: F.struct(*[F.lit(x).alias(k) for k, x in (("code", code), ("message", message), ("severity", severity), ("scope", "ai_likelihood"))])
+    short = F.when(n_words < settings.short_document_words, one("short_document", SHORT_TEXT, "info"))
+    return F.array_compact(F.array(one("stylometric_only", STYLE_ONLY, "warning"), short))
+
+
 def findings(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(document_id, finding_id, chunk_index, ai_likeness_score, the signals, signals_triggered) of each chunk."""
-    s = signals(chunks, settings)
+    """(document_id, finding_id, chunk_index, ai_likeness_score, the signals, signals_triggered, explanation) of each
+    chunk; the triggered signals joined by commas."""
+    s = signals(chunks, settings).withColumn("_hit", triggered(settings))
     score = round4(F.least(weighted({n: F.col(n) for n in WEIGHTS}), F.lit(1.0)))
-    hit = F.array_compact(F.array(*[F.when(F.col(n) >= settings.signal_trigger, F.lit(n)) for n in WEIGHTS]))
     return s.select(
         "document_id", F.concat(F.lit("fdg_"), short_id(F.lit("ai"), F.col("document_id"), F.col("chunk_index"), separator="::")).alias("finding_id"), "chunk_index",
-        score.alias("ai_likeness_score"), *[round4(F.col(n)).alias(n) for n in WEIGHTS], F.array_join(hit, ",").alias("signals_triggered"),
+        score.alias("ai_likeness_score"), *[round4(F.col(n)).alias(n) for n in WEIGHTS], F.array_join("_hit", ",").alias("signals_triggered"), explanation(F.col("_hit")).alias("explanation"),
     )
 
 
-def risk(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """(document_id, the signals' means, ai_likeness_score, automated_writing_risk, human_review_recommended,
-    short_document) of each document that has chunks."""
+def _means(chunks: DataFrame, settings: Settings) -> DataFrame:
+    """(document_id, n_words, each signal's mean as ``<name>_raw``) of documents that have chunks."""
     s = signals(chunks, settings)
-    means = s.groupBy("document_id").agg(*[F.avg(n).alias(n) for n in WEIGHTS], F.sum(F.size(words(F.col("text")))).alias("n_words"))
-    rounded = means.select("document_id", "n_words", *[round4(F.col(n)).alias(n) for n in WEIGHTS])
+    return s.groupBy("document_id").agg(*[F.avg(n).alias(f"{n}_raw") for n in WEIGHTS], F.sum(F.size(words(F.col("text")))).alias("n_words"))
+
+
+def risk(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(document_id, the signals' means, signals_triggered, ai_likeness_score, automated_writing_risk,
+    human_review_recommended, short_document, caveats) of each document that has chunks."""
+    means = _means(chunks, settings)
+    rounded = means.select("document_id", "n_words", triggered(settings, "_raw").alias("signals_triggered"), *[round4(F.col(f"{n}_raw")).alias(n) for n in WEIGHTS])
     scored = rounded.withColumn("ai_likeness_score", round4(F.least(weighted({n: F.col(n) for n in WEIGHTS}), F.lit(1.0))))
     tier = F.when(F.col("ai_likeness_score") >= settings.risk_high, "high").when(F.col("ai_likeness_score") >= settings.risk_medium, "medium").otherwise("low")
     return scored.select(
-        "document_id", *WEIGHTS, "ai_likeness_score", tier.alias("automated_writing_risk"), (tier != "low").alias("human_review_recommended"),
-        (F.col("n_words") < settings.short_document_words).alias("short_document"),
+        "document_id", *WEIGHTS, "signals_triggered", "ai_likeness_score", tier.alias("automated_writing_risk"), (tier != "low").alias("human_review_recommended"),
+        (F.col("n_words") < settings.short_document_words).alias("short_document"), caveats(F.col("n_words"), settings).alias("caveats"),
     )
+
+
+def indicator_array(values: dict[str, Column], names: Column) -> Column:
+    """array of (signal_name, value, description, triggered) in the order of the report."""
+
+    def one(name: str) -> Column:
+        on = F.array_contains(names, name)
+        return F.struct(F.lit(name).alias("signal_name"), values[name].alias("value"), F.when(on, TOLD[name][0]).otherwise(TOLD[name][1]).alias("description"), on.alias("triggered"))
+
+    return F.array(*[one(n) for n in WEIGHTS])
+
+
+def indicators(chunks: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(document_id, signal_name, value, description, triggered): six rows for each document that has chunks."""
+    r = risk(chunks, settings)
+    return r.select("document_id", F.inline(indicator_array({n: F.col(n) for n in WEIGHTS}, F.col("signals_triggered"))))

@@ -1,16 +1,14 @@
-"""From documents to one report row each."""
+"""From documents to reports: chunks, the analyses that are asked for, one row for each document."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from gleaner.operators import matching, stylometry
+from gleaner.operators import matching
 from gleaner.operators.chunk import chunk
+from gleaner.plans import reports as made
 from gleaner.settings import Settings
 
-DISCLAIMER = "These signals describe style. They are not proof of how a text was written."
-
 
 def hybrid(queries: DataFrame, remote: DataFrame, local: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Merged matches with remote and local sources."""
@@ -19,31 +17,27 @@ def hybrid(queries: DataFrame, remote: DataFrame, local: DataFrame, settings: Se
     return matching.merge(far.unionByName(near))
 
 
-def analyze(documents: DataFrame, sources: DataFrame | None, settings: Settings = Settings(), *, run_plagiarism: bool = True, run_ai_check: bool = True) -> DataFrame:
-    """(document_id, plagiarism_match_count, plagiarism_overall_score, ai_likeness_score, automated_writing_risk,
-    human_review_recommended) of each of ``documents`` (document_id, text). An analysis that isn't run leaves zeros and
-    the risk ``none``."""
+def report(
+    documents: DataFrame, sources: DataFrame | None, settings: Settings = Settings(), *, remote: DataFrame | None = None, run_plagiarism: bool = True, run_ai_check: bool = True
+) -> DataFrame:
+    """A full report for each of ``documents`` (document_id, text). ``sources``: chunks of the corpus, ``remote``: of
+    resolved remote sources; without either, nothing matches."""
     chunks = chunk(documents, settings)
-    out = documents.select("document_id")
-    if run_plagiarism and sources is not None:
-        out = matching.summary(matching.merge(matching.matches(chunks, sources, settings)), out)
-    else:
-        out = out.withColumn("match_count", F.lit(0).cast("long")).withColumn("overall_score", F.lit(0.0))
+    plagiarism = ai = None
+    if run_plagiarism:
+        near = None if sources is None else matching.merge(matching.matches(chunks, sources, settings))
+        far = None if remote is None else matching.merge(matching.matches(chunks, remote, settings, remote=True))
+        if near is None and far is None:
+            nothing = chunks.limit(0).withColumnRenamed("document_id", "source_id")
+            near = matching.matches(chunks.limit(0), nothing, settings)
+        found = near if far is None else far if near is None else matching.merge(far.unionByName(near))
+        plagiarism = made.plagiarism_sections(found, documents)
     if run_ai_check:
-        style = stylometry.risk(chunks, settings).select("document_id", "ai_likeness_score", "automated_writing_risk", "human_review_recommended")
-        out = out.join(style, "document_id", "left").fillna({"ai_likeness_score": 0.0, "automated_writing_risk": "low", "human_review_recommended": False})
-    else:
-        out = out.withColumns({"ai_likeness_score": F.lit(0.0), "automated_writing_risk": F.lit("none"), "human_review_recommended": F.lit(False)})
-    return out.withColumnRenamed("match_count", "plagiarism_match_count").withColumnRenamed("overall_score", "plagiarism_overall_score")
-
+        ai = made.ai_sections(chunks, documents, settings)
+    return made.reports(documents, plagiarism, ai)
 
-def json_reports(reports: DataFrame) -> DataFrame:
-    return reports.select("document_id", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("report"))
 
-
-def text_reports(reports: DataFrame) -> DataFrame:
-    line = F.format_string(
-        "Document %s\nCopied passages: %d (highest %.2f)\nAI-likeness: %.2f, risk %s\n" + DISCLAIMER, F.col("document_id").cast("string"), "plagiarism_match_count",
-        "plagiarism_overall_score", "ai_likeness_score", "automated_writing_risk",
-    )
-    return reports.select("document_id", line.alias("report"))
+def analyze(documents: DataFrame, sources: DataFrame | None, settings: Settings = Settings(), **options: object) -> DataFrame:
+    """(document_id, plagiarism_match_count, plagiarism_overall_score, ai_likeness_score, automated_writing_risk,
+    human_review_recommended): the summaries of ``report``."""
+    return made.summaries(report(documents, sources, settings, **options))

@@ -1,25 +1,41 @@
-"""One query for each operator over the driver's tables, and its SQL."""
+"""One query for each operator over the driver's tables; ``oracles`` has their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import SPACE_SET, abstract_text, normalize, result_url, shingles, words
+from gleaner.functions.text import abstract_text, normalize, result_url, shingles, words
 from gleaner.operators import chunk, matching, stylometry
-from gleaner.plans import analysis
+from gleaner.oracles import oracle_sql
+from gleaner.plans import analysis, reports
 from gleaner.settings import Settings
-from gleaner.sources import corpus, web
+from gleaner.sources import corpus, providers, tables, web
+
+__all__ = ["oracle_sql", "queries"]
 
 S = Settings()
 Query = Callable[[SparkSession, str], DataFrame]
+_known: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _known[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Query]:
+    return dict(_known)
+
+
+# Inputs
 
 
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return tables.spread(spark.read.parquet(f"{d}/{name}.parquet"))
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +43,8 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _transcripts(spark: SparkSession, d: str) -> DataFrame:
-    rows = _read(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    turns = F.sort_array(F.collect_list(F.struct("turn", "text")))
+    rows = _read(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("t"))
     return rows.select(F.col("conv_id").cast("string").alias("document_id"), F.array_join(F.transform("t", lambda t: t["text"]), "\n\n").alias("text"))
 
 
@@ -36,226 +53,357 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sources(spark: SparkSession, d: str, strategy=chunk.sentences) -> DataFrame:
-    return strategy(_items(spark, d)).withColumnRenamed("document_id", "source_id")
+    return strategy(_items(spark, d)).withColumnRenamed("document_id", "source_id").drop("chunk_id")
 
 
+def _plain(found: DataFrame) -> DataFrame:
+    return found.drop("source_label", "source_path")
+
+
+# Documents and chunks
+
+
+@query
 def ingest_document_metadata(spark, d):
     return _docs(spark, d).select("document_id", F.length("text").cast("long").alias("character_count"), F.sha2("text", 256).alias("content_hash"))
 
 
+@query
 def chunk_paragraph(spark, d):
     return chunk.chunk(_transcripts(spark, d))
 
 
+@query
 def chunk_sentence(spark, d):
     return chunk.chunk(_docs(spark, d), replace(S, chunk_strategy="sentence"))
 
 
+@query
 def chunk_fixed_window(spark, d):
     return chunk.chunk(_docs(spark, d), replace(S, chunk_strategy="fixed", chunk_size=50, chunk_overlap=10))
 
 
+@query
+def remote_rechunk(spark, d):
+    texts = _transcripts(spark, d).select(F.col("document_id").alias("source_id"), F.lit("t").alias("source_label"), F.lit("p").alias("source_path"), "text")
+    return matching.remote_chunks(texts).select("source_id", "chunk_index", "text", "start_offset", "end_offset")
+
+
+@query
 def shingle_counts(spark, d):
     s = shingles(F.col("text"), 5)
     return _docs(spark, d).select("document_id", F.size(s).cast("long").alias("n_shingles"), F.size(F.array_distinct(s)).cast("long").alias("n_distinct"))
 
 
+@query
 def normalized_text(spark, d):
     return _docs(spark, d).select("document_id", normalize(F.col("text")).alias("normalized_text"))
 
 
+@query
 def inverted_index(spark, d):
+    """Each shingle with the places that hold it, in order, a place once for each time."""
     items = _items(spark, d).select(F.col("document_id").alias("source_id"), F.lit(0).alias("chunk_index"), "text")
-    return matching.postings(items, "source_id", 5).groupBy("shingle").agg(F.count("*").alias("n_refs"), F.count_distinct("source_id").alias("n_sources"))
+    place = F.concat_ws(":", "source_id", F.col("chunk_index").cast("string"))
+    places = matching.postings(items, "source_id", 5).select("shingle", "source_id", place.alias("ref")).groupBy("shingle")
+    return places.agg(F.count("*").alias("n_refs"), F.count_distinct("source_id").alias("n_sources"), F.array_join(F.array_sort(F.collect_list("ref")), ",").alias("refs"))
+
+
+# Matches
 
 
+@query
+def candidate_pairs(spark, d):
+    return matching.candidates(chunk.sentences(_docs(spark, d)), _sources(spark, d))
+
+
+@query
 def jaccard_pairs(spark, d):
+    return matching.pairs(chunk.sentences(_docs(spark, d)), _sources(spark, d)).select(*matching.KEYS, "common", "jaccard")
+
+
+@query
+def jaccard_all_pairs(spark, d):
+    """With a threshold of 0 every pair of chunks counts, also without a common shingle."""
+    items = _sources(spark, d, chunk.paragraphs)
+    queries = items.withColumnRenamed("source_id", "document_id")
+    return matching.pairs(queries, items, replace(S, jaccard_threshold=0.0)).select(*matching.KEYS, "common", "jaccard")
+
+
+@query
+def token_sort_similarity(spark, d):
     found = matching.pairs(chunk.sentences(_docs(spark, d)), _sources(spark, d))
-    return found.where(F.col("jaccard") >= S.jaccard_threshold)
+    return found.select(*matching.KEYS, F.round(matching.token_sort_ratio("q", "s"), 6).alias("score"))
 
 
+@query
 def local_matches(spark, d):
-    return matching.matches(chunk.sentences(_docs(spark, d)), _sources(spark, d)).drop("matched_excerpt", "source_excerpt")
+    return _plain(matching.matches(chunk.sentences(_docs(spark, d)), _sources(spark, d)))
+
+
+@query
+def remote_matches(spark, d):
+    return _plain(matching.matches(chunk.sentences(_docs(spark, d)), _sources(spark, d, chunk.paragraphs), remote=True))
 
 
+@query
 def merged_matches(spark, d):
-    return matching.merge(matching.matches(chunk.windows(_docs(spark, d), 50, 25), _sources(spark, d, chunk.paragraphs))).drop("matched_excerpt", "source_excerpt")
+    return _plain(matching.merge(matching.matches(chunk.windows(_docs(spark, d), 50, 25), _sources(spark, d, chunk.paragraphs))))
 
 
+@query
 def hybrid_matches(spark, d):
     queries = chunk.sentences(_docs(spark, d))
-    return analysis.hybrid(queries, _sources(spark, d, chunk.paragraphs), _sources(spark, d)).drop("matched_excerpt", "source_excerpt")
+    return _plain(analysis.hybrid(queries, _sources(spark, d, chunk.paragraphs), _sources(spark, d)))
 
 
+@query
+def ranked_matches(spark, d):
+    found = matching.ranked(matching.merge(matching.matches(chunk.sentences(_docs(spark, d)), _sources(spark, d))))
+    return found.select("document_id", "rank", "finding_id", "similarity_score")
+
+
+@query
 def document_plagiarism_summary(spark, d):
     docs = _docs(spark, d)
     return matching.summary(matching.merge(matching.matches(chunk.sentences(docs), _sources(spark, d))), docs)
 
 
+# Remote sources
+
+
+@query
 def query_selection(spark, d):
     return matching.search_queries(chunk.sentences(_docs(spark, d)))
 
 
+@query
 def candidate_dedupe(spark, d):
-    asked = _read(spark, d, "pages").select((F.col("page_id") % 7).cast("string").alias("document_id"), (F.col("page_id") % 40).cast("string").alias("source_id"), F.col("page_id").alias("query_rank"), F.lit(0).alias("provider_rank"), F.lit(0).alias("result_rank"))
-    return matching.first_candidates(asked).select("document_id", "source_id", "query_rank")
-
-
+    """Of the candidates of each document and source the first by query, provider and result."""
+    asked = _read(spark, d, "pages").select(
+        (F.col("page_id") % 7).cast("string").alias("document_id"), (F.col("page_id") % 40).cast("string").alias("source_id"), (F.col("page_id") * 13 % 5).cast("int").alias("query_rank"),
+        (F.col("page_id") * 7 % 3).cast("int").alias("provider_rank"), F.col("page_id").cast("int").alias("result_rank"),
+    )
+    return matching.first_candidates(asked)
+
+
+def _benchmark_provider(spark, d):
+    return providers.TableProvider("table", _items(spark, d).withColumnRenamed("document_id", "source_id"))
+
+
+@query
+def provider_search(spark, d):
+    asked = matching.search_queries(chunk.sentences(_docs(spark, d)))
+    found = providers.search(asked, [_benchmark_provider(spark, d)])
+    return found.select("document_id", "query_rank", "result_rank", "provider", "source_id")
+
+
+@query
+def provider_matches(spark, d):
+    """Queries, search, resolution and the comparison of each document with what was found for it."""
+    own = _benchmark_provider(spark, d)
+    chunks = chunk.sentences(_docs(spark, d))
+    found = providers.search(matching.search_queries(chunks), [own])
+    pairs = matching.matches(chunks, providers.resolve(found, [own]), remote=True)
+    return _plain(matching.merge(pairs.join(found.select("document_id", "source_id").distinct(), ["document_id", "source_id"], "left_semi")))
+
+
+def _payloads(rows: DataFrame, payload: Column) -> DataFrame:
+    return rows.select(F.col("item_id").cast("string").alias("document_id"), F.lit(1).alias("query_rank"), payload.alias("payload"))
+
+
+@query
+def openalex_parsed(spark, d):
+    """Answers made of the items: with and without a name, an identifier, an abstract and a place."""
+    i, text = F.col("item_id"), F.col("text")
+    placed = F.transform(words(text), lambda w, p: F.struct(F.concat(w, F.lit("~"), p.cast("string")).alias("k"), F.array(p).alias("v")))
+    work = F.struct(
+        F.when(i % 2 == 0, F.concat(F.lit("https://w/"), i.cast("string"))).alias("id"), F.when(i % 3 == 0, F.concat(F.lit("https://doi.org/"), i.cast("string"))).alias("doi"),
+        F.when(i % 5 != 0, F.substring(text, 1, 20)).alias("display_name"), F.when(i % 7 != 0, F.map_from_entries(placed)).alias("abstract_inverted_index"),
+        F.when(i % 4 == 1, F.struct(F.lit("https://oa/x").alias("oa_url"))).alias("open_access"),
+        F.when(i % 4 != 3, F.struct(F.when(i % 4 == 2, F.lit("https://p/x.pdf")).alias("pdf_url"), F.lit("https://land/x").alias("landing_page_url"))).alias("primary_location"),
+    )
+    payload = F.to_json(F.struct(F.array(work).alias("results")))
+    return web.openalex_candidates(_payloads(_read(spark, d, "benchmark"), payload)).drop("query_rank")
+
+
+@query
+def crossref_parsed(spark, d):
+    i, text = F.col("item_id"), F.col("text")
+    work = F.struct(
+        F.when(i % 2 == 0, F.concat(F.lit("10.1/"), i.cast("string"))).alias("DOI"), F.when(i % 3 == 0, F.lit("https://u/x")).alias("URL"),
+        F.when(i % 5 != 0, F.array(F.substring(text, 1, 9), F.lit("part two"))).alias("title"), F.when(i % 7 != 0, F.concat(F.lit("<jats:p>"), text, F.lit("</jats:p> &amp; more"))).alias("abstract"),
+    )
+    payload = F.to_json(F.struct(F.struct(F.array(work).alias("items")).alias("message")))
+    return web.crossref_candidates(_payloads(_read(spark, d, "benchmark"), payload)).drop("query_rank", "full_text_url")
+
+
+@query
+def arxiv_parsed(spark, d):
+    i = F.col("item_id")
+    safe = F.regexp_replace("text", "[<>&]", " ")
+    name = F.when(i % 2 == 0, F.concat(F.lit("<id>http://a/"), i.cast("string"), F.lit("</id>"))).otherwise("")
+    links = F.lit('<link href="http://a/abs"/><link title="pdf" href="http://a/pdf"/><link title="pdf" href="http://b/pdf"/>')
+    entry = F.concat(F.lit("<entry>"), name, F.lit("<title> A\n title "), i.cast("string"), F.lit("</title><summary>"), safe, F.lit("</summary>"), F.when(i % 3 == 0, links).otherwise(""), F.lit("</entry>"))
+    feed = F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), entry, F.when(i % 5 == 0, "").otherwise("</feed>"))
+    return web.arxiv_candidates(_payloads(_read(spark, d, "benchmark"), feed)).drop("query_rank")
+
+
+@query
+def duckduckgo_parsed(spark, d):
+    """Result pages of four links of which three are taken: a redirect, the search site's own page, and a plain one."""
+    at = F.concat(F.lit("https://s/"), F.col("item_id").cast("string"), F.lit("?a=1&b=x%20y"))
+    link = lambda href, title: F.concat(F.lit('<a class="x result__a" href="'), href, F.lit('">'), F.lit(title), F.lit("</a>"))
+    redirect = F.concat(F.lit("//duckduckgo.com/l/?kh=1&amp;uddg="), F.url_encode(at))
+    page = F.concat(F.lit('<a href="https://not/">no</a>'), link(redirect, "one <b>two</b>"), link(F.lit("/about"), "own"), link(at, " a &amp; b "), link(at, "left out"))
+    return web.duckduckgo_candidates(_payloads(_read(spark, d, "benchmark"), page), 3).drop("query_rank")
+
+
+@query
 def html_text(spark, d):
     return _read(spark, d, "pages").select("page_id", web.page_text(F.col("html"), 0).alias("text"))
 
 
+@query
 def strip_markup(spark, d):
     return _read(spark, d, "pages").select("page_id", web.without_markup(F.col("html")).alias("text"))
 
 
+@query
 def abstract_reconstruction(spark, d):
     w = _items(spark, d).select("document_id", F.posexplode(words(F.col("text"))).alias("p", "w")).groupBy("document_id", "w").agg(F.collect_list("p").alias("ps"))
     maps = w.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("m"))
     return maps.select("document_id", abstract_text(F.col("m")).alias("abstract"))
 
 
+@query
 def result_url_resolution(spark, d):
-    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/l/?kh=-1&uddg="), F.url_encode("url"))).when(F.col("page_id") % 3 == 1, F.regexp_replace("url", "^https?:", "")).otherwise(F.col("url"))
+    """Links of eleven shapes: redirects encoded once, twice and badly, on the site and elsewhere, and plain ones."""
+    n, u = F.col("page_id") % 11, F.col("url")
+    once, twice = F.url_encode(u), F.url_encode(F.url_encode(u))
+    site = "//duckduckgo.com"
+    shapes = [
+        F.concat(F.lit("/l/?kh=-1&uddg="), once), F.concat(F.lit(f"{site}/l/?uddg="), twice), F.concat(F.lit("/y?uddg="), once), F.lit("/l/?uddg=%ZZ"), F.lit("/l/?kh=1"),
+        F.concat(F.lit("/l/?uddg="), F.url_encode(F.lit("https://duckduckgo.com/x"))), F.regexp_replace(u, "^https?:", ""), u, F.lit("ftp://a.example/x"),
+        F.lit("https://notduckduckgo.com/x"), F.concat(F.lit("/l/?uddg=x%2By+z&uddg="), once),
+    ]
+    url = F.coalesce(*[F.when(n == k, shape) for k, shape in enumerate(shapes)])
     return _read(spark, d, "pages").select("page_id", result_url(url).alias("target"))
 
 
+# Style
+
+
+@query
+def style_signals(spark, d):
+    s = stylometry.signals(_docs(spark, d).withColumn("chunk_index", F.lit(0)))
+    return s.select("document_id", *[F.round(F.col(n), 6).alias(n) for n in stylometry.WEIGHTS])
+
+
+@query
 def chunk_ai_findings(spark, d):
     return stylometry.findings(chunk.paragraphs(_transcripts(spark, d)))
 
 
+@query
+def document_indicators(spark, d):
+    return stylometry.indicators(chunk.paragraphs(_transcripts(spark, d)))
+
+
+def _codes(caveats: Column) -> Column:
+    return F.array_join(F.transform(caveats, lambda c: F.concat_ws("/", c["code"], c["severity"], c["scope"])), ",")
+
+
+@query
 def document_ai_risk(spark, d):
-    return stylometry.risk(chunk.paragraphs(_transcripts(spark, d)))
+    r = stylometry.risk(chunk.paragraphs(_transcripts(spark, d)))
+    return r.withColumns({"signals_triggered": F.array_join("signals_triggered", ","), "caveats": _codes(F.col("caveats"))})
 
 
-def style_signals(spark, d):
-    s = stylometry.signals(_docs(spark, d).withColumn("chunk_index", F.lit(0)))
-    return s.select("document_id", *[F.round(F.col(n), 6).alias(n) for n in stylometry.WEIGHTS])
+# The corpus
 
 
-def corpus_refresh_states(spark, d):
+def _snapshot(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents as files of now (some unreadable), and the corpus of two thirds of them as of before."""
     docs = _read(spark, d, "documents")
-    at = F.timestamp_seconds(F.col("doc_id") * 60)
-    known = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").cast("string").alias("source_path"), F.when(F.col("doc_id") % 5 == 0, F.timestamp_seconds(F.col("doc_id") * 60 - 1)).when(F.col("doc_id") % 7 != 0, at).alias("modified_at"))
-    return corpus.states(docs.select(F.col("doc_id").cast("string").alias("source_path"), at.alias("modified_at")), known)
+    at, i = F.timestamp_seconds(F.col("doc_id") * 60), F.col("doc_id")
+    had = F.when(i % 5 == 0, F.timestamp_seconds(i * 60 - 1)).when(i % 7 != 0, at)
+    row = lambda text, time: docs.select(i.cast("string").alias("document_id"), i.cast("string").alias("source_path"), time.alias("modified_at"), text.alias("text"))
+    files = row(F.when(i % 11 != 0, F.concat(F.lit("new "), F.substring("text", 1, 300))), at)
+    old = row(F.substring("text", 1, 300), had).where(F.col("document_id").cast("long") % 3 != 0)
+    return files, *corpus.indexed(old)
+
+
+@query
+def corpus_refresh_states(spark, d):
+    files, sources, _ = _snapshot(spark, d)
+    return corpus.states(files.select("source_path", "modified_at"), sources)
 
 
+@query
+def corpus_sources(spark, d):
+    return _docs(spark, d).transform(lambda x: corpus.indexed(x.withColumns({"source_path": F.concat(F.lit("a/b/"), "document_id"), "modified_at": F.lit(None).cast("timestamp")}))[0]).select(
+        "source_id", "label", "content_hash"
+    )
+
+
+@query
+def corpus_refreshed(spark, d):
+    """The sources and their number of chunks after a refresh: fresh ones as they were, the rest read again."""
+    files, sources, chunks = _snapshot(spark, d)
+    new_sources, new_chunks, _ = corpus.refreshed(files, sources, chunks)
+    n = new_chunks.groupBy(F.col("source_id").alias("of")).agg(F.count("*").alias("n_chunks"), F.sum(F.size("shingles")).alias("n_shingles"))
+    return new_sources.join(n, F.col("source_id") == F.col("of"), "left").select("source_id", "content_hash", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), F.coalesce("n_shingles", F.lit(0)).alias("n_shingles"))
+
+
+@query
+def corpus_refresh_stats(spark, d):
+    files, sources, _ = _snapshot(spark, d)
+    s = corpus.stats(files, corpus.states(files.select("source_path", "modified_at"), sources))
+    return spark.createDataFrame([(s.indexed, s.skipped, s.up_to_date, s.total_files)], "indexed long, skipped long, up_to_date long, total_files long")
+
+
+# Reports
+
+
+def _reports(spark, d, **options) -> DataFrame:
+    return analysis.report(_transcripts(spark, d), _sources(spark, d, chunk.paragraphs), **options)
+
+
+@query
 def report_summary(spark, d):
-    return analysis.analyze(_transcripts(spark, d), _sources(spark, d, chunk.paragraphs))
+    return reports.summaries(_reports(spark, d))
 
 
-def report_json(spark, d):
-    return analysis.json_reports(report_summary(spark, d))
+def _copied_reports(spark, d) -> DataFrame:
+    """Of documents that hold copied sentences, against sentences: reports with matches."""
+    return analysis.report(_docs(spark, d), _sources(spark, d), replace(S, chunk_strategy="sentence"), run_ai_check=False)
 
 
-def report_text(spark, d):
-    return analysis.text_reports(report_summary(spark, d))
+@query
+def report_matches(spark, d):
+    m = _copied_reports(spark, d).select("document_id", F.posexplode("plagiarism.matches").alias("place", "m"))
+    return m.select("document_id", "place", "m.finding_id", "m.source.source_id", F.col("m.source.chunk_index").alias("source_chunk_index"), "m.similarity_score", "m.match_type", "m.offsets.start", "m.offsets.end")
 
 
-_QUERIES = (
-    ingest_document_metadata, chunk_paragraph, chunk_sentence, chunk_fixed_window, shingle_counts, normalized_text, inverted_index, jaccard_pairs, local_matches,
-    merged_matches, hybrid_matches, document_plagiarism_summary, query_selection, candidate_dedupe, html_text, strip_markup, abstract_reconstruction,
-    result_url_resolution, style_signals, chunk_ai_findings, document_ai_risk, corpus_refresh_states, report_summary, report_json, report_text,
-)
+@query
+def report_json(spark, d):
+    """The JSON report, read again."""
+    got = reports.as_json(_reports(spark, d))
+    of = lambda path: F.get_json_object("report", f"$.{path}")
+    texts = ("schema_version", "status", "document.filename", "summary.automated_writing_risk", "ai_likelihood.automated_writing_risk", "plagiarism.document_id")
+    return got.select(
+        "document_id", *[of(t).alias(t.replace(".", "_")) for t in texts], of("document.character_count").cast("int").alias("character_count"),
+        of("summary.ai_likeness_score").cast("double").alias("ai_likeness_score"), of("summary.analyses_run").alias("analyses_run"),
+        *[F.json_array_length(of(t)).alias(n) for t, n in (("plagiarism.matches", "n_matches"), ("ai_likelihood.chunk_findings", "n_findings"), ("ai_likelihood.indicators", "n_indicators"), ("caveats", "n_caveats"))],
+    )
+
+
+@query
+def report_text(spark, d):
+    return reports.as_text(_reports(spark, d))
 
 
-def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in _QUERIES}
-
-
-W, T = f"[{SPACE_SET}]", f"[^{SPACE_SET}]+"
-_ABBR = "(?i)(^|" + W + ")(" + "|".join([x.replace(".", "[.]") for x in chunk.DOTTED] + chunk.TITLES) + r"|\p{L})\.+$"
-_DOCS = "docs as (select cast(doc_id as varchar) as document_id, text from documents)"
-_ITEMS = "items as (select cast(item_id as varchar) as document_id, text from benchmark)"
-_TRANSCRIPTS = "docs as (select cast(conv_id as varchar) as document_id, string_agg(text, chr(10) || chr(10) order by turn, text) as text from conversations group by conv_id)"
-_SHINGLES = "case when len({w}) = 0 then [] when len({w}) < 5 then [array_to_string({w}, ' ')] else list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i:i + 4], ' ')) end"
-
-
-def _strip(c: str) -> str:
-    return f"regexp_replace({c}, '^{W}+|{W}+$', '', 'g')"
-
-
-def _chunks(docs: str, out: str, spans: str) -> str:
-    """CTEs from pieces (document_id, pos, start, raw) to chunks."""
-    return f"""{spans},
-{out}_kept as (select document_id, pos, start + length(raw) - length(regexp_replace(raw, '^{W}+', '')) as start_offset, {_strip('raw')} as text from {out}_raw),
-{out} as (select document_id, cast(row_number() over (partition by document_id order by pos) - 1 as int) as chunk_index, text, cast(start_offset as int) as start_offset,
-  cast(start_offset + length(text) as int) as end_offset from {out}_kept where text <> '')"""
-
-
-def _paragraphs(docs: str, out: str) -> str:
-    p = rf"\n{W}*\n"
-    return _chunks(docs, out, f"""{out}_cut as (select document_id, regexp_split_to_array(text, '{p}') as g, regexp_extract_all(text, '{p}') as m from {docs}),
-{out}_raw as (select document_id, i as pos, g[i] as raw, coalesce(list_sum(list_transform(g[1:i - 1], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as start
-  from {out}_cut, unnest(range(1, len(g) + 1)) as u(i))""")
-
-
-def _sentences(docs: str, out: str) -> str:
-    return _chunks(docs, out, f"""{out}_parts as (select document_id, string_split(regexp_replace(text, '([.!?])({W}+)', '\\1' || chr(1) || '\\2' || chr(2), 'g'), chr(1)) as p from {docs}),
-{out}_pieces as (select document_id, i, case when i = 1 then '' else split_part(p[i], chr(2), 1) end as gap, case when i = 1 then p[i] else split_part(p[i], chr(2), 2) end as piece
-  from {out}_parts, unnest(range(1, len(p) + 1)) as u(i)),
-{out}_flags as (select *, sum(length(gap) + length(piece)) over w - length(piece) as start, coalesce(lag(regexp_matches(piece, '{_ABBR}')) over w, false) as goes_on
-  from {out}_pieces window w as (partition by document_id order by i)),
-{out}_groups as (select *, sum(case when goes_on then 0 else 1 end) over (partition by document_id order by i) as pos from {out}_flags),
-{out}_raw as (select document_id, pos, min(start) as start, substr(string_agg(gap || piece, '' order by i), 1 + length(arg_min(gap, i))) as raw from {out}_groups group by document_id, pos)""")
-
-
-_CHUNK_ID = "substr(sha256(document_id || ':' || chunk_index), 1, 16) as chunk_id"
-
-
-def _pairs(docs: str, items: str) -> str:
-    def grams(of: str, out: str, more: str) -> str:
-        return f"""{out}_words as (select *, regexp_extract_all(lower(text), '{T}') as w from {of}),
-{out}_sets as (select *, list_distinct({_SHINGLES.format(w='w')}) as s from {out}_words {more}), {out}_grams as (select document_id, chunk_index, len(s) as n, unnest(s) as g from {out}_sets)"""
-
-    return f"""{grams(docs, 'q', 'where len(w) >= 8')}, {grams(items, 's', '')},
-met as (select q.document_id, q.chunk_index, s.document_id as source_id, s.chunk_index as source_chunk_index, count(*) as common, any_value(q.n) as nq, any_value(s.n) as ns
-  from q_grams q join s_grams s using (g) group by all),
-pairs as (select document_id, chunk_index, source_id, source_chunk_index, common, common / (nq + ns - common) as jaccard from met)"""
-
-
-_SIGNALS = f"""sents as (select document_id, chunk_index, text, list_filter(list_transform(string_split(regexp_replace(text, '([.!?]){W}+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {_strip('x')}), lambda x: x <> '') as s from chunks),
-w as (select *, list_transform(s, lambda x: regexp_extract_all(x, '{T}')) as w from sents),
-v as (select *, list_transform(w, lambda x: cast(len(x) as double)) as n, list_transform(flatten(w), lambda x: lower(x)) as words, list_transform(w, lambda x: lower(x[1])) as firsts,
-  list_transform(w, lambda x: list_sum(list_transform(x, lambda y: length(y))) / len(x)) as means from w),
-spread as (select *, coalesce(list_aggregate(n, 'stddev_samp') / list_avg(n), 1) as cn, coalesce(list_aggregate(means, 'stddev_samp') / list_avg(means), 1) as cm,
-  list_max(map_values(list_histogram(firsts))) as most from v),
-signals as (select document_id, chunk_index, len(words) as n_words,
-  case when len(s) < 2 then 0.0 else greatest(0.0, least(1.0, 1 - cn)) end as sentence_length_uniformity,
-  case when len(s) = 0 then 0.0 else len(list_filter(n, lambda x: x <= 8)) / len(s) end as short_sentence_ratio,
-  case when len(s) = 0 then 0.0 else len(list_filter(n, lambda x: x >= 40)) / len(s) end as long_sentence_ratio,
-  case when len(words) = 0 then 0.0 else 1 - len(list_distinct(words)) / len(words) end as lexical_diversity,
-  case when len(s) < 2 then 0.0 else (most - 1) / len(s) end as sentence_start_repetition,
-  case when len(s) < 2 then 0.0 else greatest(0.0, least(1.0, 1 - cm)) end as avg_word_length_uniformity from spread)"""
-_NAMES = [*stylometry.WEIGHTS]
-_R4 = "round_even({0} * 10000, 0) / 10000"
-_SCORE = "(" + " + ".join(f"{n} * {w}" for n, w in stylometry.WEIGHTS.items()) + ") / 5.6"
-_ROUNDED = ", ".join(f"{_R4.format(n)} as {n}" for n in _NAMES)
-_LIST = ", ".join(_NAMES)
-
-
-def oracle_sql() -> dict[str, str]:
-    chunk_columns = f"select {_CHUNK_ID}, document_id, chunk_index, text, start_offset, end_offset from chunks"
-    fixed = _chunks("docs", "chunks", f"""cut as (select document_id, text as t, regexp_extract_all(text, '{T}') as m, regexp_split_to_array(text, '{T}') as g from docs),
-toks as (select document_id, len(m) as n, unnest(m) as w, unnest(g[1:len(m)]) as gap, generate_subscripts(m, 1) as i from cut),
-placed as (select document_id, n, i, w, cast(sum(length(gap) + length(w)) over (partition by document_id order by i) - length(w) as bigint) as at_ from toks),
-chunks_raw as (select s.document_id, s.i as pos, s.at_ as start, substr(t, s.at_ + 1, e.at_ + length(e.w) - s.at_) as raw from placed s
-  join placed e on s.document_id = e.document_id and e.i = least(s.i + 49, s.n) join cut on cut.document_id = s.document_id where (s.i - 1) % 40 = 0)""")
-    return {
-        "ingest_document_metadata": f"with {_DOCS} select document_id, length(text) as character_count, sha256(text) as content_hash from docs",
-        "chunk_paragraph": f"with {_TRANSCRIPTS}, {_paragraphs('docs', 'chunks')} {chunk_columns}",
-        "chunk_sentence": f"with {_DOCS}, {_sentences('docs', 'chunks')} {chunk_columns}",
-        "chunk_fixed_window": f"with {_DOCS}, {fixed} {chunk_columns}",
-        "shingle_counts": f"with {_DOCS}, w as (select document_id, regexp_extract_all(lower(text), '{T}') as w from docs), s as (select document_id, {_SHINGLES.format(w='w')} as s from w) select document_id, len(s) as n_shingles, len(list_distinct(s)) as n_distinct from s",
-        "normalized_text": f"with {_DOCS} select document_id, array_to_string(regexp_extract_all(lower(text), '{T}'), ' ') as normalized_text from docs",
-        "inverted_index": f"with {_ITEMS}, w as (select document_id, regexp_extract_all(lower(text), '{T}') as w from items), s as (select document_id, unnest({_SHINGLES.format(w='w')}) as shingle from w) select shingle, count(*) as n_refs, count(distinct document_id) as n_sources from s group by shingle",
-        "jaccard_pairs": f"with {_DOCS}, {_ITEMS}, {_sentences('docs', 'q_chunks')}, {_sentences('items', 's_chunks')}, {_pairs('q_chunks', 's_chunks')} select * from pairs where jaccard >= 0.1",
-        "query_selection": f"with {_DOCS}, {_sentences('docs', 'chunks')}, ranked as (select *, row_number() over (partition by document_id order by length(text) desc, chunk_index) as r, regexp_extract_all(text, '{T}') as w from chunks) select document_id, chunk_index, substr(array_to_string(w, ' '), 1, 180) as query from ranked where r <= 5 and len(w) >= 8",
-        "candidate_dedupe": "select cast(page_id % 7 as varchar) as document_id, cast(page_id % 40 as varchar) as source_id, min(page_id) as query_rank from pages group by 1, 2",
-        "abstract_reconstruction": f"with {_ITEMS} select document_id, array_to_string(regexp_extract_all(text, '{T}'), ' ') as abstract from items",
-        "result_url_resolution": "select page_id, case when page_id % 3 = 1 then regexp_replace(url, '^https?:', 'https:') else url end as target from pages",
-        "style_signals": f"with {_DOCS}, chunks as (select document_id, 0 as chunk_index, text from docs), {_SIGNALS} select document_id, {', '.join(f'round({n}, 6) as {n}' for n in _NAMES)} from signals",
-        "chunk_ai_findings": f"with {_TRANSCRIPTS}, {_paragraphs('docs', 'chunks')}, {_SIGNALS} select document_id, 'fdg_' || substr(sha256('ai::' || document_id || '::' || chunk_index), 1, 16) as finding_id, chunk_index, {_R4.format(f'least({_SCORE}, 1.0)')} as ai_likeness_score, {_ROUNDED}, array_to_string(list_filter([{', '.join(f'case when {n} >= 0.5 then {n!r} end' for n in _NAMES)}], lambda x: x is not null), ',') as signals_triggered from signals".replace(f"{_SCORE}", _SCORE),
-        "document_ai_risk": f"with {_TRANSCRIPTS}, {_paragraphs('docs', 'chunks')}, {_SIGNALS}, means as (select document_id, sum(n_words) as n_words, {', '.join(f'avg({n}) as {n}' for n in _NAMES)} from signals group by document_id), r as (select document_id, n_words, {_ROUNDED} from means), scored as (select *, {_R4.format(f'least({_SCORE}, 1.0)')} as ai_likeness_score from r) select document_id, {_LIST}, ai_likeness_score, case when ai_likeness_score >= 0.6 then 'high' when ai_likeness_score >= 0.3 then 'medium' else 'low' end as automated_writing_risk, ai_likeness_score >= 0.3 as human_review_recommended, n_words < 80 as short_document from scored",
-        "corpus_refresh_states": "select cast(doc_id as varchar) as source_path, case when doc_id % 3 = 0 then 'new' when doc_id % 5 = 0 then 'stale' else 'fresh' end as state from documents",
-    }
+@query
+def report_text_matches(spark, d):
+    return reports.as_text(_copied_reports(spark, d))

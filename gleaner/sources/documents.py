@@ -18,13 +18,21 @@ SUPPORTED = (*TEXT, *DOCX, *PDF)
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
+def _paragraph(p: ElementTree.Element) -> str:
+    """A paragraph's runs; tabs and line breaks are characters."""
+    marks = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n"}
+    return "".join(marks.get(x.tag, (x.text or "") if x.tag == f"{_W}t" else "") for r in p.iter(f"{_W}r") for x in r)
+
+
 def docx_text(content: bytes) -> str:
+    """The body's own paragraphs, blank ones left out, with blank lines between; tables and headers are not read."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
             root = ElementTree.fromstring(z.read("word/document.xml"))
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
         raise IngestionError(f"Failed to read DOCX: {e}") from e
-    texts = ("".join(t.text or "" for t in p.iter(f"{_W}t")) for p in root.iter(f"{_W}p"))
+    body = root.find(f"{_W}body")
+    texts = [_paragraph(p) for p in (root if body is None else body).findall(f"{_W}p")]
     return "\n\n".join(t for t in texts if t.strip())
 
 
@@ -76,3 +84,18 @@ def read_documents(spark: SparkSession, paths: str | list[str], *, recursive: bo
     return parsed.select(
         F.sha2("path", 256).alias("document_id"), F.col("path").alias("source_path"), "filename", "format", F.col("modificationTime").alias("modified_at"), "text", "error"
     )
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """One document, as ``read_documents`` gives it; what can't be read is an ``IngestionError``."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(where) or not files.getFileStatus(where).isFile():
+        raise IngestionError(f"Path is not a file: {path}")
+    name = str(where.getName())
+    if not name.lower().endswith(SUPPORTED):
+        raise IngestionError(f"Unsupported file format: {name} (supported: {', '.join(SUPPORTED)})")
+    got = read_documents(spark, path)
+    if error := got.select("error").first()[0]:
+        raise IngestionError(f"{path}: {error}")
+    return got

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import html
 from html.parser import HTMLParser
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.functions.text import abstract_text, collapse, truncate
+from gleaner.functions.text import abstract_text, collapse, result_url, truncate
 
 
 class _Text(HTMLParser):
@@ -52,41 +53,125 @@ def page_text(c: Column, most: int) -> Column:
     return truncate(F.when(F.coalesce(found, F.lit("")) != "", found).otherwise(without_markup(c)), most)
 
 
-WORK = "struct<id:string,doi:string,display_name:string,title:string,abstract_inverted_index:map<string,array<int>>,open_access:struct<oa_url:string>,primary_location:struct<pdf_url:string,landing_page_url:string>>"
+WORK = (
+    "struct<id:string,doi:string,display_name:string,abstract_inverted_index:map<string,array<int>>,open_access:struct<oa_url:string>,"
+    "primary_location:struct<pdf_url:string,landing_page_url:string>>"
+)
+ITEM = "struct<DOI:string,URL:string,title:array<string>,abstract:string>"
+ENTRY, LINK = (T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in names])) for names in (("id", "title", "summary", "pdf"), ("title", "href")))
+#: A candidate source, in the order of what was asked, of whom, and of the answer.
+CANDIDATE = (
+    "document_id string, query_rank int, provider_rank int, result_rank int, provider string, source_id string, source_label string, source_path string, "
+    "metadata_text string, full_text_url string"
+)
+_ASKED = ("document_id", "query_rank")
+_ATOM = "{http://www.w3.org/2005/Atom}"
 
 
 def _first(*columns: Column) -> Column:
     return F.coalesce(*[F.when(c != "", c) for c in columns])
 
 
+def _paragraphs(*columns: Column) -> Column:
+    return F.concat_ws("\n\n", *[F.when(c != "", c) for c in columns])
+
+
+def _candidates(rows: DataFrame, provider: str, key: Column, label: Column, path: Column, text: Column, url: Column) -> DataFrame:
+    return rows.select(
+        *_ASKED, "result_rank", F.lit(provider).alias("provider"), F.concat(F.lit(f"{provider}:"), key).alias("source_id"), label.alias("source_label"),
+        path.alias("source_path"), text.alias("metadata_text"), url.alias("full_text_url"),
+    )
+
+
 def openalex_candidates(payloads: DataFrame) -> DataFrame:
     """Candidates of (document_id, query_rank, payload): the provider's JSON answers. Missing parts are nulls."""
-    works = payloads.select("document_id", "query_rank", F.posexplode(F.from_json("payload", f"struct<results:array<{WORK}>>")["results"]).alias("result_rank", "w"))
+    works = payloads.select(*_ASKED, F.posexplode(F.from_json("payload", f"struct<results:array<{WORK}>>")["results"]).alias("result_rank", "w"))
     place = F.col("w.primary_location")
-    path = _first(F.col("w.doi"), F.col("w.id"), place["landing_page_url"], F.col("w.title"))
-    title = F.coalesce("w.title", F.lit(""))
-    return works.select(
-        "document_id", "query_rank", "result_rank", F.lit("openalex").alias("provider"), F.concat(F.lit("openalex:"), _first(F.col("w.id"), path)).alias("source_id"),
-        F.coalesce("w.display_name", F.lit("OpenAlex work")).alias("source_label"), path.alias("source_path"),
-        F.concat_ws("\n\n", F.when(title != "", title), F.when(abstract_text(F.col("w.abstract_inverted_index")) != "", abstract_text(F.col("w.abstract_inverted_index")))).alias("metadata_text"),
-        _first(F.col("w.open_access.oa_url"), place["pdf_url"], place["landing_page_url"]).alias("full_text_url"),
-    )
+    title = F.coalesce(_first(F.col("w.display_name")), F.lit("OpenAlex work"))
+    path = _first(F.col("w.doi"), F.col("w.id"), place["landing_page_url"], title)
+    text = _paragraphs(title, abstract_text(F.col("w.abstract_inverted_index")))
+    url = _first(F.col("w.open_access.oa_url"), place["pdf_url"], place["landing_page_url"])
+    return _candidates(works, "openalex", _first(F.col("w.id"), path), title, path, text, url)
 
 
 def crossref_candidates(payloads: DataFrame) -> DataFrame:
-    item = "struct<DOI:string,URL:string,title:array<string>,abstract:string>"
-    items = payloads.select("document_id", "query_rank", F.posexplode(F.from_json("payload", f"struct<message:struct<items:array<{item}>>>")["message"]["items"]).alias("result_rank", "w"))
-    title = F.coalesce(F.array_join("w.title", " "), F.lit(""))
+    """Candidates of (document_id, query_rank, payload): the provider's JSON answers; no full text."""
+    items = payloads.select(*_ASKED, F.posexplode(F.from_json("payload", f"struct<message:struct<items:array<{ITEM}>>>")["message"]["items"]).alias("result_rank", "w"))
+    title = F.coalesce(_first(F.array_join("w.title", " ")), F.lit("Crossref work"))
     path = _first(F.col("w.URL"), F.when(F.col("w.DOI") != "", F.concat(F.lit("https://doi.org/"), F.col("w.DOI"))), title)
-    abstract = without_markup(F.coalesce("w.abstract", F.lit("")))
-    return items.select(
-        "document_id", "query_rank", "result_rank", F.lit("crossref").alias("provider"), F.concat(F.lit("crossref:"), _first(F.col("w.DOI"), path)).alias("source_id"),
-        _first(title, F.lit("Crossref work")).alias("source_label"), path.alias("source_path"), F.concat_ws("\n\n", F.when(title != "", title), F.when(abstract != "", abstract)).alias("metadata_text"),
-        F.lit(None).cast("string").alias("full_text_url"),
-    )
+    text = _paragraphs(title, without_markup(F.coalesce("w.abstract", F.lit(""))))
+    return _candidates(items, "crossref", _first(F.col("w.DOI"), path), title, path, text, F.lit(None).cast("string"))
+
+
+@F.pandas_udf(ENTRY)
+def atom_entries(feeds: pd.Series) -> pd.Series:
+    """(id, title, summary, pdf) of each entry of an Atom feed; null for what isn't XML."""
+
+    def one(feed: str | None) -> list[dict] | None:
+        try:
+            root = ElementTree.fromstring(feed or "")
+        except ElementTree.ParseError:
+            return None
+        out = []
+        for e in root.findall(f"{_ATOM}entry"):
+            text = {k: e.findtext(f"{_ATOM}{k}", default="") for k in ("id", "title", "summary")}
+            pdf = next((x.get("href") for x in e.findall(f"{_ATOM}link") if x.get("title") == "pdf"), None)
+            out.append(text | {"pdf": pdf})
+        return out
+
+    return feeds.map(one)
+
+
+def arxiv_candidates(payloads: DataFrame) -> DataFrame:
+    """Candidates of (document_id, query_rank, payload): Atom feeds. A feed that can't be read has none."""
+    entries = payloads.select(*_ASKED, F.posexplode(atom_entries("payload")).alias("result_rank", "w"))
+    title, summary, unnamed = collapse(F.col("w.title")), collapse(F.col("w.summary")), F.lit("arXiv work")
+    key = _first(F.col("w.id"), title)
+    label = F.coalesce(_first(title), unnamed)
+    return _candidates(entries, "arxiv", F.coalesce(key, F.lit("")), label, F.coalesce(key, unnamed), _paragraphs(title, summary), F.col("w.pdf"))
+
+
+class _Links(HTMLParser):
+    """Titles and targets of a result page's links, which are anchors of the class ``result__a``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.found: list[dict[str, str]] = []
+        self.open: tuple[str, list[str]] | None = None
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        known = {k: v or "" for k, v in attrs}
+        if tag == "a" and "result__a" in known.get("class", "").split():
+            self.open = known.get("href", ""), []
+
+    def handle_data(self, data: str) -> None:
+        if self.open:
+            self.open[1].append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "a" and self.open:
+            href, parts = self.open
+            title = " ".join(" ".join(parts).split())
+            if title and href:
+                self.found.append({"title": title, "href": href})
+            self.open = None
+
+
+@F.pandas_udf(LINK)
+def result_links(pages: pd.Series) -> pd.Series:
+    def one(page: str | None) -> list[dict[str, str]]:
+        parser = _Links()
+        parser.feed(page or "")
+        return parser.found
+
+    return pages.map(one)
 
 
-def table_candidates(queries: DataFrame, table: DataFrame, provider: str) -> DataFrame:
-    """Every row of ``table`` (source_id, text) as a candidate of every document that asks: a provider without network.
-    The corpus is joined by shingle later, so no pairs are made here."""
-    return table.select(F.lit(provider).alias("provider"), F.concat(F.lit(f"{provider}:"), F.col("source_id").cast("string")).alias("source_id"), F.col("text").alias("metadata_text"))
+def duckduckgo_candidates(payloads: DataFrame, most: int = 0) -> DataFrame:
+    """Candidates of (document_id, query_rank, payload): result pages. The first ``most`` links of a page count (0: all),
+    those that lead nowhere among them."""
+    links = result_links("payload")
+    chosen = payloads.select(*_ASKED, F.posexplode(F.slice(links, 1, most) if most > 0 else links).alias("result_rank", "w"))
+    target = chosen.withColumn("target", result_url(F.col("w.href"))).where("target is not null")
+    title = F.col("w.title")
+    return _candidates(target, "duckduckgo", F.col("target"), title, F.col("target"), title, F.col("target"))

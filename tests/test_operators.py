@@ -94,8 +94,8 @@ def test_files(spark, tmp_path):
 def test_docx_and_bad_files():
     body = io.BytesIO()
     with zipfile.ZipFile(body, "w") as z:
-        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:r><w:t>a</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>b</w:t></w:r></w:p></w:document>')
-    assert docx_text(body.getvalue()) == "a\n\nb"
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>a</w:t><w:tab/><w:t>c</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>in a table</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>b</w:t></w:r></w:p></w:body></w:document>')
+    assert docx_text(body.getvalue()) == "a\tc\n\nb"
     for f, x in ((docx_text, b"no zip"), (plain_text, b"\xff")):
         with pytest.raises(IngestionError):
             f(x)
