@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -25,20 +26,58 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``. Only a local master, as in tests, may
+    leave that unset: elsewhere each executor would write to a disk of its own."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (the master is {master})")
         named = f"file://{tempfile.mkdtemp(prefix='gleaner-')}"
         spark.conf.set("spark.checkpoint.dir", named)
+        _file_system(spark, named, "deleteOnExit")
     return named.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str, call: str, *args: object) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    getattr(where.getFileSystem(spark._jsc.hadoopConfiguration()), call)(where, *args)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it again: the lineage ends there, and a lost executor
-    costs no more than the tasks after it. The folder belongs to the cluster, which also clears it."""
-    path = f"{shared_folder(df.sparkSession)}/gleaner-{uuid.uuid4().hex}"
+    costs no more than the tasks after it. The table goes when the driver ends, or by ``discard``."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/gleaner-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _file_system(spark, path, "deleteOnExit")
+    table = spark.read.schema(df.schema).parquet(path)
+    table.gleaner_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``cut`` that nothing will read any more."""
+    for table in tables:
+        _file_system(table.sparkSession, table.gleaner_path, "delete", True)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, made longer until no column is called so (names differ by more than case)."""
+    known = {c.lower() for c in taken}
+    while name.lower() in known:
+        name += "_"
+    return name
+
+
+def own_columns(df: DataFrame, column: str = "own") -> list[Column]:
+    """The columns that were packed into the struct ``column``, as they were."""
+    return [F.col(column).getField(f.name).alias(f.name) for f in df.schema[column].dataType]
+
+
+def packed(df: DataFrame) -> Column:
+    """All columns as one struct, so that an operator's own names can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
 
 
 @contextmanager
@@ -93,6 +132,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = cut(small)
         same = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         was = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(now)
         now = after
         if tuple(same) == tuple(was):
             break

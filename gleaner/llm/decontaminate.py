@@ -6,9 +6,10 @@ at the same place. Fingerprints of documents are joined with those of the items
 longest shared run; runs of at least ``span`` words count. An item shorter than ``span`` words, but not empty, is one
 window: runs of its own length are looked up at every place of a document.
 
-The fingerprints of the items are cut into parts of at most ``part_words`` words, each broadcast: a bounded size. A
-benchmark of more words takes more parts, which documents pass one after the other without a shuffle, so nothing grows
-with the benchmark but the time.
+The fingerprints of the items are cut into parts of about ``part_words`` words (an item is never cut), each broadcast
+alone: a bounded size. One part is looked up in a single pass over the documents, without a shuffle. With more parts,
+each has a pass of its own that keeps only what it hit, as a table; the hits are then merged by document. So neither the
+driver nor a task ever holds more than one part, and only the number of passes grows with the benchmark.
 
 Defined cases: null and wordless texts have no words and are never hit; null or wordless items match nothing; repeated
 documents and items each count as they are, but equal ``item_id`` once; an item without an id marks words and is not
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
+from .common import cut, own_columns, packed
 
 SPAN, GRAM, PART_WORDS = 13, 8, 2_000_000
+RUNS = "array<struct<start:long,end:long>>"
 
 
 def _windows_min(h: np.ndarray, w: int, pick) -> np.ndarray:
@@ -162,43 +166,70 @@ def decontaminate(
     merged and sorted) and ``<prefix>items`` (array of item ids, sorted). Columns of these names are replaced."""
     if not 1 <= gram <= span:
         raise ValueError("gram must be between 1 and span")
-    spark = documents.sparkSession
     names = {n: f"{prefix}{n}" for n in ("words", "runs", "items")}
-    kept = [c for c in documents.columns if c not in names.values()]
-    out = documents.select(*[F.col(f"`{c}`") for c in kept]).withColumns(
-        {
-            names["words"]: F.lit(0).cast("long"),
-            names["runs"]: F.array().cast("array<struct<start:long,end:long>>"),
-            names["items"]: F.array().cast("array<string>"),
-        }
-    )
-    schema = out.schema
+    gone = {n.lower() for n in names.values()}
+    kept = [c for c in documents.columns if c.lower() not in gone]
+    empty = {names["words"]: F.lit(0).cast("long"), names["runs"]: F.array().cast(RUNS), names["items"]: F.array().cast("array<string>")}
+    wide = documents.select(*[F.col(f"`{c}`") for c in kept]).withColumns(empty)
     parts = _item_parts(benchmark, item_id, item_text, part_words)
-    for part in [*parts] or [[]]:
-        prints = spark.sparkContext.broadcast(Fingerprints(part, span, gram))
-
-        def scan(batches: Iterator[pa.RecordBatch], prints=prints) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                before = batch.column(names["runs"]).to_pylist(), batch.column(names["items"]).to_pylist()
+    first, second = next(parts, []), next(parts, None)
+    if second is None:
+        return _looked_up(wide, first, text, names, span, gram)
+
+    rows = cut(documents.select(F.monotonically_increasing_id().alias("row"), packed(documents.select(*[F.col(f"`{c}`") for c in kept])).alias("own"), F.col(f"`{text}`").alias("text")))
+    plain = {n: n for n in names}
+    passes = []
+    for part in chain((first, second), parts):
+        of = rows.select("row", "text").withColumns({"words": F.lit(0).cast("long"), "runs": F.array().cast(RUNS), "items": F.array().cast("array<string>")})
+        found = _looked_up(of, part, "text", plain, span, gram)
+        passes.append(cut((found if not passes else found.where(F.size("runs") > 0)).select("row", "words", "runs", "items")))
+    hits = passes[0]
+    for more in passes[1:]:
+        hits = hits.unionByName(more)
+    by_row = hits.groupBy(F.col("row").alias("of")).agg(
+        F.max("words").alias("words"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    joined = rows.join(by_row, F.col("row") == F.col("of"))
+    return joined.select(*own_columns(rows), F.col("words").alias(names["words"]), merged(F.col("runs")).alias(names["runs"]), F.col("items").alias(names["items"]))
+
+
+def merged(runs: Column) -> Column:
+    """Sorted runs, those that meet or overlap made one."""
+
+    def step(done: Column, r: Column) -> Column:
+        last = F.element_at(done, -1)
+        one = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        joins = (F.size(done) > 0) & (r["start"] <= F.get(done, F.size(done) - 1)["end"])
+        return F.when(joins, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(one))).otherwise(F.concat(done, F.array(r)))
+
+    return F.aggregate(runs, F.array().cast(RUNS), step)
+
+
+def _looked_up(wide: DataFrame, part: list[tuple[str | None, np.ndarray]], text: str, names: dict[str, str], span: int, gram: int) -> DataFrame:
+    """``wide`` with the three columns of ``names`` filled from one part of the benchmark."""
+    shared = wide.sparkSession.sparkContext.broadcast(Fingerprints(part, span, gram))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints = shared.value
+        for whole in batches:
+            for batch in tb.bounded(whole, text):
                 counts, spans, ids = [], [], []
-                for (n, found), old, had in zip(_scan(batch.column(text), prints.value), *before, strict=True):
+                for n, found in _scan(batch.column(text), prints):
                     counts.append(n)
-                    merged: list[dict] = []
-                    for s, e in sorted([(r["start"], r["end"]) for r in old] + [(s, e) for s, e, _ in found]) if found else ():
-                        if merged and s <= merged[-1]["end"]:
-                            merged[-1]["end"] = max(e, merged[-1]["end"])
+                    runs: list[dict] = []
+                    for s, e in sorted((s, e) for s, e, _ in found):
+                        if runs and s <= runs[-1]["end"]:
+                            runs[-1]["end"] = max(e, runs[-1]["end"])
                         else:
-                            merged.append({"start": s, "end": e})
-                    spans.append(merged if found else old)
-                    ids.append(sorted({*had, *(i for k in {k for _, _, k in found} if (i := prints.value.ids[k]) is not None)}))
-                new = {names["words"]: pa.array(counts, pa.int64()), names["runs"]: pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), names["items"]: pa.array(ids, pa.list_(pa.string()))}
+                            runs.append({"start": s, "end": e})
+                    spans.append(runs)
+                    ids.append(sorted({i for k in {k for _, _, k in found} if (i := prints.ids[k]) is not None}))
+                kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+                new = {names["words"]: pa.array(counts, pa.int64()), names["runs"]: pa.array(spans, kind), names["items"]: pa.array(ids, pa.list_(pa.string()))}
                 columns = [new.get(f.name, batch.column(f.name)) for f in batch.schema]
                 yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-        out = out.mapInArrow(scan, schema)
-    return out
+    return wide.mapInArrow(scan, wide.schema)
 
 
 def hit_words(runs: Column) -> Column:
@@ -227,6 +258,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_documents(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    found = decontaminate(documents, benchmark)
-    return found.where(~is_contaminated(F.col("bench_words"), hit_words(F.col("bench_runs")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    """The documents that are not contaminated, with their own columns, whatever these are called."""
+    prefix = "bench_"
+    while any(c.lower().startswith(prefix) for c in documents.columns):
+        prefix += "_"
+    found = decontaminate(documents, benchmark, prefix=prefix)
+    clean = ~is_contaminated(F.col(f"{prefix}words"), hit_words(F.col(f"{prefix}runs")))
+    return found.where(clean).select(*[F.col(f"`{c}`") for c in documents.columns])

@@ -1,40 +1,35 @@
 """Personal data: base patterns, and terms that disclose them by co-occurrence. DataFrame functions only.
 
 Base spans are emails, IP addresses, card and phone numbers, leftmost and non-overlapping for each kind, in code
-points. Every distinct value is a protected entity e. The words within ``REACH`` code points of a mention are its
-context; over the whole corpus
+points. Every distinct value is a protected entity e. Over the whole corpus, by whole documents,
 
-    n(e), n(t), n(e, t) = documents that mention e, hold the word t anywhere, hold t in a context of e;  N = documents
-    PMI(t; e) = log(n(e, t) N / (n(t) n(e)))          IC(e) = log(N / n(e))
+    n(e), n(t), n(e, t) = documents that mention e, hold the word t, mention e and hold t outside base spans
+    N = documents;  PMI(t; e) = log(n(e, t) N / (n(t) n(e)));  IC(e) = log(N / n(e))
 
-and t discloses e if n(e, t) >= ``SUPPORT`` and PMI(t; e) >= 3/4 IC(e), that is, (n(e, t) / n(t))**4 N >= n(e). Such
-words are spans of kind ``term`` where they stand in a context of e.
-
-``sanitised`` takes whole documents instead of contexts: n(e, t) = documents that mention e and hold t outside base
-spans, and a term that discloses any entity is replaced wherever it stands, in documents without mentions too. Base
-spans become the name of their kind; terms that disclose an entity wholly (PMI = IC) are removed, the others
-generalised to ``<term>``.
+and t discloses e if n(e, t) >= ``SUPPORT`` and PMI(t; e) >= 3/4 IC(e), that is, (n(e, t) / n(t))**4 N >= n(e). A word
+that discloses any entity is a span of kind ``term`` wherever it stands outside base spans, in documents without
+mentions too. In ``sanitised`` texts base spans become the name of their kind; terms that disclose an entity wholly
+(PMI = IC) are removed, the others generalised to ``<term>``.
 
 Patterns are written with possessive loops and an anchor for where matches may begin; they match what the plain ones
 match, without backtracking over long runs and without recursion.
 
 Defined cases: null texts are empty; null or repeated ids and repeated rows are rows of their own; a span of a later
 kind that overlaps an earlier one is reported, and replaced together with it; words of fewer than ``LETTERS`` code
-points and words that touch base spans disclose nothing; an empty table gives an empty one.
+points, words that touch base spans, and words that hold U+FDD0 (no character, here the mark of a base span) disclose
+nothing; columns of any other names come back as they were; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import let, starts
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, own_columns, packed
 
-REACH, SUPPORT, LETTERS, BROADCAST_TERMS = 64, 2, 3, 500_000
+SUPPORT, LETTERS, BROADCAST_TERMS = 2, 3, 500_000
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -44,7 +39,8 @@ PATTERNS = {
 }
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 VALID_IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+TERM, BETWEEN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+MARK = "\ufdd0"
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -93,79 +89,82 @@ def _spans(text: Column, found: Column, pattern: str) -> Column:
     return F.when(F.size(found) > 0, located(found, F.split(text, pattern, -1))).otherwise(F.array().cast(SPAN))
 
 
-def _context(text: Column, base: Column, span: Column) -> Column:
-    """The words around a span, with where they stand."""
-    begin, end = F.greatest(span["start"] - REACH, F.lit(0)), span["end"]
-    sides = (
-        (begin, F.substr(text, begin + 1, span["start"] - begin), begin > 0, F.lit(False)),
-        (end, F.substr(text, end + 1, F.lit(REACH)), F.lit(False), F.length(text) > end + REACH),
-    )
-    def words(at: Column, side: Column, cut_left: Column, cut_right: Column) -> Column:
-        side = ascii_lower(side)
-        near = F.filter(
-            _spans(side, F.regexp_extract_all(side, F.lit(TERM), F.lit(0)), TERM),
-            lambda w: (F.length(w["value"]) >= LETTERS) & ~(cut_left & (w["start"] == 0)) & ~(cut_right & (w["end"] == F.length(side))),
-        )
-        return F.transform(near, lambda w: F.struct(span["entity"].alias("entity"), w["value"].alias("term"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end")))
-
-    parts = [words(*side) for side in sides]
-    return F.filter(F.concat(*parts), lambda w: ~F.exists(base, lambda b: (w["start"] <= b["end"]) & (b["start"] <= w["end"])))
-
-
 def detect(documents: DataFrame) -> DataFrame:
-    """(row, doc_id, text, base, contexts) of every document, as a table; ``base``: array of (kind, start, end, entity),
-    ``contexts``: array of (entity, term, start, end). Other columns of ``documents`` stay."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    docs = documents.withColumn("_row", F.monotonically_increasing_id()).withColumn("_text", text)
+    """(row, own, text, base) of every document: all its columns as a struct, its text, and the array of (kind, start,
+    end, entity)."""
+    docs = documents.select(F.monotonically_increasing_id().alias("row"), packed(documents).alias("own"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     signs = {"email": "@", "ip": ".", "phone": "+"}
     for kind in KINDS:
-        found = F.regexp_extract_all("_text", F.lit(PATTERNS[kind]), F.lit(0))
+        found = F.regexp_extract_all("text", F.lit(PATTERNS[kind]), F.lit(0))
         if kind in signs:
-            found = F.when(F.contains("_text", F.lit(signs[kind])), found).otherwise(F.array().cast("array<string>"))
-        docs = docs.withColumn(f"_{kind}", found)
+            found = F.when(F.contains("text", F.lit(signs[kind])), found).otherwise(F.array().cast("array<string>"))
+        docs = docs.withColumn(kind, found)
     for kind in KINDS:
-        docs = docs.withColumn(f"_{kind}", _spans(F.col("_text"), F.col(f"_{kind}"), PATTERNS[kind]))
+        docs = docs.withColumn(kind, _spans(F.col("text"), F.col(kind), PATTERNS[kind]))
 
     def entity(kind: str, value: Column) -> Column:
         return F.concat(F.lit(f"{kind}:"), ascii_lower(value) if kind == "email" else value if kind == "ip" else digits(value))
 
     def of(kind: str) -> Column:
-        good = F.filter(f"_{kind}", lambda s: valid(kind, s["value"]))
+        good = F.filter(kind, lambda s: valid(kind, s["value"]))
         return F.transform(good, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), entity(kind, s["value"]).alias("entity")))
 
-    base = F.concat(*[of(kind) for kind in KINDS])
-    docs = docs.withColumn("_base", base).drop(*[f"_{k}" for k in KINDS])
-    around = F.flatten(F.transform("_base", lambda s: _context(F.col("_text"), F.col("_base"), s)))
-    none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-    return docs.withColumn("_contexts", F.when(F.size("_base") > 0, around).otherwise(none)).drop("_text")
+    return docs.select("row", "own", "text", F.concat(*[of(kind) for kind in KINDS]).alias("base"))
 
 
-def disclosures(found: DataFrame, texts: DataFrame, *, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, whole) of the terms that disclose entities; ``texts``: the text column of all documents."""
-    mentions = found.where(F.size("_base") > 0)
-    of = mentions.select(F.explode(F.array_distinct(F.transform("_base", lambda b: b["entity"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = (
-        mentions.select(F.explode(F.array_distinct(F.transform("_contexts", lambda c: F.struct(c["entity"].alias("entity"), c["term"].alias("term"))))).alias("p"))
-        .select("p.entity", "p.term").groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    )
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    holding = words.where(F.length("term") >= LETTERS).groupBy("term").agg(F.count("*").alias("n_t"))
-    n = texts.count()
-    share = F.col("n_et") / F.col("n_t")
-    return (
-        pairs.join(of, "entity").join(holding, "term")
-        .where(share * share * share * share * F.lit(float(n)) >= F.col("n_e"))
-        .select("entity", "term", (F.col("n_et") == F.col("n_t")).alias("whole"))
-    )
+def _spliced(text: Column, cuts: Column) -> Column:
+    """``text`` with every span of ``cuts`` (start, end, to; sorted) replaced; one that overlaps an earlier one goes with
+    it. Pieces are joined once, so the time is linear in the number of cuts but for finding their places."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, s: Column) -> Column:
+        fresh = s["start"] >= a["at"]
+        piece = F.concat(F.substr(text, a["at"] + 1, s["start"] - a["at"]), s["to"])
+        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(fresh, F.concat(a["out"], F.array(piece))).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(cuts, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substr(text, a["at"] + 1)))
 
 
-def spans(documents: DataFrame, *, support: int = SUPPORT, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """The table of ``detect`` (with the columns ``keep``), and (row, terms): the spans of disclosing terms in it."""
-    found = cut(detect(documents.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*(keep or []), "text"])])).select(*[F.col(f"`{c}`") for c in keep or []], "_row", "_base", "_contexts"))
-    told = disclosures(found, documents.select("text"), support=support)
-    places = found.where(F.size("_contexts") > 0).select("_row", F.explode("_contexts").alias("c")).select("_row", "c.*")
-    terms = places.join(told, ["entity", "term"]).groupBy("_row", "start", "end").agg(F.max("whole").alias("whole"))
-    return found, terms.groupBy(F.col("_row").alias("_of")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "whole"))).alias("_terms"))
+def _distinct_terms(text: Column) -> Column:
+    """The distinct words of a text that may disclose, in ASCII lower case."""
+    return F.filter(F.array_distinct(F.split(ascii_lower(text), BETWEEN, -1)), lambda w: (F.length(w) >= LETTERS) & ~F.contains(w, F.lit(MARK)))
+
+
+def disclosing(found: DataFrame, *, support: int = SUPPORT) -> DataFrame:
+    """(term, whole) of the terms that disclose an entity; ``found``: row, text, base of all documents."""
+    holding = found.select(F.explode(_distinct_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # n(e, t) is n(e) at most: entities of fewer mentions than the support have no terms
+    entities = cut(found.where(F.size("base") > 0).select("row", F.explode(F.array_distinct(F.transform("base", lambda b: b["entity"]))).alias("entity")))
+    of = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
+    telling = cut(entities.join(of, "entity").select("row", "entity", "n_e"))
+    rows = telling.groupBy("row").agg(F.collect_list(F.struct("entity", "n_e")).alias("e"))
+    # a base span is one mark that belongs to words, so a word that touches one holds the mark
+    marks = F.array_sort(F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.lit(MARK).alias("to"))))
+    held = found.join(rows, "row").select("e", F.explode(_distinct_terms(_spliced(F.col("text"), marks))).alias("term"))
+    pairs = held.select("term", F.explode("e").alias("e")).groupBy("e.entity", "e.n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
+    n, share = found.count(), F.col("n_et") / F.col("n_t")
+    told = pairs.join(holding, "term").where(share * share * share * share * F.lit(float(n)) >= F.col("n_e"))
+    return told.groupBy("term").agg(F.max(F.col("n_et") == F.col("n_t")).alias("whole"))
+
+
+def marked(documents: DataFrame, *, support: int = SUPPORT) -> DataFrame:
+    """``detect`` with ``terms``: the array of (start, end, whole) of the disclosing terms of each document."""
+    found = cut(detect(documents))
+    told = cut(disclosing(found, support=support))
+    small = F.broadcast if told.count() <= BROADCAST_TERMS else (lambda df: df)
+    words = found.select("row", F.explode(_distinct_terms(F.col("text"))).alias("term"))
+    hits = words.join(small(told), "term").groupBy(F.col("row").alias("of"))
+    hits = cut(hits.agg(F.collect_list(F.when(F.col("whole"), F.col("term"))).alias("all_told"), F.collect_list("term").alias("told")))
+    touched = found.join(hits, F.col("row") == F.col("of"), "left")
+
+    def places(lower: Column) -> Column:
+        wanted = F.filter(_spans(lower, F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)), TERM), lambda w: F.array_contains("told", w["value"]))
+        outside = F.filter(wanted, lambda w: ~F.exists("base", lambda b: (w["start"] <= b["end"]) & (b["start"] <= w["end"])))
+        return F.transform(outside, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), F.array_contains("all_told", w["value"]).alias("whole")))
+
+    none = F.array().cast("array<struct<start:int,end:int,whole:boolean>>")
+    terms = F.when(F.col("told").isNotNull(), let(ascii_lower(F.col("text")), places)).otherwise(none)
+    return touched.select("row", "own", "text", "base", terms.alias("terms"))
 
 
 def _is(kind: str):
@@ -178,72 +177,24 @@ def listed(kind: Column, start: Column, end: Column) -> Column:
 
 def personal_data(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    found, terms = spans(documents, keep=["doc_id"])
-    base = F.transform("_base", lambda b: listed(b["kind"], b["start"], b["end"]))
-    more = F.transform(F.coalesce("_terms", F.array().cast("array<struct<start:int,end:int,whole:boolean>>")), lambda t: listed(F.lit("term"), t["start"], t["end"]))
-    return found.join(terms, F.col("_row") == F.col("_of"), "left").select(
-        "doc_id",
-        *[F.size(F.filter("_base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS],
+    base = F.transform("base", lambda b: listed(b["kind"], b["start"], b["end"]))
+    more = F.transform("terms", lambda t: listed(F.lit("term"), t["start"], t["end"]))
+    return marked(documents.select("doc_id", "text")).select(
+        F.col("own.doc_id").alias("doc_id"),
+        *[F.size(F.filter("base", _is(k))).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
         F.array_join(F.concat(base, more), ",").alias("spans"),
     )
 
 
-def _terms_of(text: Column, base: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """The words of a text outside its base spans, with where they stand; of them those that are ``wanted``."""
-
-    def words(lower: Column) -> Column:
-        found = F.filter(
-            _spans(lower, F.regexp_extract_all(lower, F.lit(TERM), F.lit(0)), TERM),
-            lambda w: (F.length(w["value"]) >= LETTERS) & (wanted(w["value"]) if wanted else F.lit(True)),
-        )
-        return F.filter(found, lambda w: ~F.exists(base, lambda b: (w["start"] <= b["end"]) & (b["start"] <= w["end"])))
-
-    return let(ascii_lower(text), words)
-
-
-def disclosing(found: DataFrame, *, support: int = SUPPORT) -> DataFrame:
-    """(term, whole) of the terms that disclose an entity by whole documents; ``found``: _row, text, _base of all."""
-    vocabulary = found.select(F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    holding = vocabulary.where(F.length("term") >= LETTERS).groupBy("term").agg(F.count("*").alias("n_t"))
-    # n(e, t) is n(e) at most: entities of fewer mentions than the support have no terms
-    entities = cut(found.where(F.size("_base") > 0).select("_row", F.explode(F.array_distinct(F.transform("_base", lambda b: b["entity"]))).alias("entity")))
-    of = entities.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= support)
-    telling = cut(entities.join(of, "entity").select("_row", "entity", "n_e"))
-    rows = telling.groupBy("_row").agg(F.collect_list(F.struct("entity", "n_e")).alias("_e"))
-    held = found.join(rows, "_row").select("_e", F.explode(F.array_distinct(F.transform(_terms_of(F.col("text"), F.col("_base")), lambda w: w["value"]))).alias("term"))
-    pairs = held.select("term", F.explode("_e").alias("e")).groupBy("e.entity", "e.n_e", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= support)
-    n, share = found.count(), F.col("n_et") / F.col("n_t")
-    told = pairs.join(holding, "term").where(share * share * share * share * F.lit(float(n)) >= F.col("n_e"))
-    return told.groupBy("term").agg(F.max(F.col("n_et") == F.col("n_t")).alias("whole"))
-
-
 def sanitised(documents: DataFrame, *, support: int = SUPPORT) -> DataFrame:
     """``documents`` with the personal data and disclosing terms of ``text`` replaced or removed."""
-    columns = [F.col(f"`{c}`") for c in documents.columns]
-    found = cut(detect(documents).select(*columns, "_row", "_base"))
-    told = cut(disclosing(found, support=support))
-    small = F.broadcast if told.count() <= BROADCAST_TERMS else (lambda df: df)
-    words = found.select("_row", F.explode(F.array_distinct(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))).alias("term"))
-    hits = words.join(small(told), "term").groupBy(F.col("_row").alias("_of"))
-    hits = cut(hits.agg(F.collect_list(F.when(F.col("whole"), F.col("term"))).alias("_whole"), F.collect_list("term").alias("_told")))
-    touched = found.join(hits, F.col("_row") == F.col("_of"), "left")
-    none = F.array().cast("array<string>")
-    terms = F.when(F.col("_told").isNotNull(), _terms_of(F.col("text"), F.col("_base"), lambda w: F.array_contains("_told", w))).otherwise(F.array().cast(SPAN))
+    found = marked(documents, support=support)
     cuts = F.array_sort(
         F.concat(
-            F.transform("_base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("<"), b["kind"], F.lit(">")).alias("to"))),
-            F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(F.array_contains(F.coalesce("_whole", none), t["value"]), "").otherwise("<term>").alias("to"))),
+            F.transform("base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), F.concat(F.lit("<"), b["kind"], F.lit(">")).alias("to"))),
+            F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["whole"], "").otherwise("<term>").alias("to"))),
         )
     )
-
-    def replace(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1, s["start"] - a["at"]), s["to"])).otherwise(a["out"]).alias("out"),
-        )
-
-    done = F.aggregate(cuts, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), replace, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["at"] + 1)))
-    new = touched.withColumn("_new", F.when((F.size("_base") > 0) | F.col("_told").isNotNull(), done).otherwise(F.col("text")))
-    return new.select(*[F.col("_new").alias("text") if c == "text" else F.col(f"`{c}`") for c in documents.columns])
+    new = F.when(F.size("base") + F.size("terms") > 0, _spliced(F.col("text"), cuts)).otherwise(F.col("own.text"))
+    return found.select(*[new.alias("text") if f.name == "text" else c for f, c in zip(found.schema["own"].dataType, own_columns(found), strict=True)])

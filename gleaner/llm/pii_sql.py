@@ -32,19 +32,18 @@ base as materialized (select r, kind, k, start, stop,
     else length(d) between 16 and 19 and list_sum(list_transform(range(0, length(d)), lambda i:
       case when i % 2 = 1 then (2 * cast(substr(d, cast(length(d) - i as int), 1) as int)) // 10 + (2 * cast(substr(d, cast(length(d) - i as int), 1) as int)) % 10
         else cast(substr(d, cast(length(d) - i as int), 1) as int) end)) % 10 = 0 end),
-sides as (
-  select b.r, entity, greatest(start - 64, 0) as off, {_LOWER.format("substr(t, greatest(start - 64, 0) + 1, start - greatest(start - 64, 0))")} as t, start > 64 as cut_left, false as cut_right
-    from base b join docs using (r)
-  union all select b.r, entity, stop, {_LOWER.format("substr(t, stop + 1, 64)")}, false, length(t) > stop + 64 from base b join docs using (r)),
-words as (select r, entity, value as term, off + start as start, off + stop as stop from ({_located('sides', _TERM)})
-  where length(value) >= 3 and not (cut_left and start = 0) and not (cut_right and stop = length(t))),
-contexts as materialized (select * from words w where not exists (select 1 from base b where b.r = w.r and w.start <= b.stop and b.start <= w.stop)),
-n_e as (select entity, count(distinct r) as n_e from base group by entity),
-n_et as (select entity, term, count(distinct r) as n_et from contexts group by all having count(distinct r) >= 2),
-n_t as (select term, count(*) as n_t from (select unnest(list_distinct(regexp_extract_all({_LOWER.format('t')}, '{_TERM}'))) as term from docs) group by term),
-told as (select entity, term from n_et join n_e using (entity) join n_t using (term)
+cut as (select r, regexp_extract_all({_LOWER.format('t')}, '{_TERM}') as m, regexp_split_to_array({_LOWER.format('t')}, '{_TERM}') as g from docs),
+tokens as (select r, unnest(m) as term, unnest(g[1:len(m)]) as gap, generate_subscripts(m, 1) as i from cut),
+placed as (select r, term, cast(sum(length(gap) + length(term)) over (partition by r order by i) as int) as stop from tokens),
+words as materialized (select r, term, stop - cast(length(term) as int) as start, stop from placed where length(term) >= 3 and not contains(term, chr(64976))),
+outside as materialized (select * from words w where not exists (select 1 from base b where b.r = w.r and w.start <= b.stop and b.start <= w.stop)),
+mentions as (select distinct r, entity from base),
+n_e as (select entity, count(*) as n_e from mentions group by entity),
+n_et as (select entity, term, count(*) as n_et from mentions join (select distinct r, term from outside) using (r) group by all having count(*) >= 2),
+n_t as (select term, count(distinct r) as n_t from words group by term),
+told as (select distinct term from n_et join n_e using (entity) join n_t using (term)
   where (n_et / n_t) * (n_et / n_t) * (n_et / n_t) * (n_et / n_t) * (select cast(count(*) as double) from docs) >= n_e),
-terms as (select distinct r, 'term' as kind, 5 as k, start, stop from contexts join told using (entity, term)),
+terms as (select r, 'term' as kind, 5 as k, start, stop from outside join told using (term)),
 spans as (select r, k, kind, start, stop from base union all select r, k, kind, start, stop from terms),
 lists as (select r, string_agg(kind || ':' || start || ':' || stop, ',' order by k, start) as spans,
   string_agg(kind || ':' || start || ':' || stop, ',' order by k, start) filter (k < 5) as base,

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SLICE = 1 << 20
 U = np.uint64
@@ -71,6 +72,18 @@ def slices(texts: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, np.ndarra
         i = j
 
 
+def bounded(batch: pa.RecordBatch, *columns: str, limit: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """A batch in parts whose texts in ``columns`` have about ``limit`` bytes at most, or one row: what is made of a part
+    is handed on before the next one is looked at."""
+    if not batch.num_rows:
+        return
+    sizes = sum(np.asarray(pc.fill_null(pc.binary_length(batch.column(c)), 0), dtype=np.int64) for c in columns)
+    part = np.cumsum(sizes) // limit
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def spans(data: np.ndarray, inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of bytes of ``inside`` that cross no text's border, and each run's text."""
     if not len(data):
