@@ -118,9 +118,30 @@ def test_jaccard_join_by_brute_force(spark):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == [(len(s), t) for s, t in zip(sets, top, strict=True)]
 
 
-def test_long_texts_lose_no_shingle():
-    (s,) = jaccard_join.token_sets(pa.array([" ".join(map(str, range(3_000_000)))]), 3)
-    assert len(s) == 2_999_998 and (jaccard_join.unpack(jaccard_join.pack(s)) == s.view(np.int64)).all()
+@pytest.mark.parametrize(("bits", "node_bits"), [(9, 64), (64, 3), (5, 2)])
+def test_colliding_hashes_change_nothing(spark, bits, node_bits):
+    texts = prose(30, seed=8, words=40)
+    docs = documents(spark, texts).selectExpr("doc_id as id", "doc_id", "text")
+    right, forced = ({tuple(r) for r in jaccard_join.similar_documents(docs, **o).collect()} for o in ({}, {"bits": bits, "node_bits": node_bits}))
+    assert forced == right and any(r[3] != r[0] for r in right)
+
+
+def test_shingles_are_counted_on_words():
+    texts = [" ".join(map(str, range(3000))), "a b " * 50, "a", ""]
+    for bits in (64, 6):
+        assert [len(s) for s in jaccard_join.token_sets(pa.array(texts), 3, bits)] == [2998, 2, 1, 0]
+
+
+def test_common_grams_of_long_texts_by_brute_force(monkeypatch):
+    rng = random.Random(4)
+    for n in (1, 3, 5):
+        for size in (0, 2, 30):
+            a, b = ([rng.choice("abc").encode() for _ in range(size + k)] for k in (0, 3))
+            short = jaccard_join.common_grams(a, b, n)
+            with monkeypatch.context() as m:
+                m.setattr(jaccard_join, "LONG", 0)
+                long = jaccard_join.common_grams(a, b, n)
+            assert long[2] == short[2] and (long == short or short[2] == 0)
 
 
 def test_one_of_each_group_stays(spark):
