@@ -206,9 +206,7 @@ def score(documents: DataFrame, tree: Tree, vocabulary: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (part for whole in batches for part in tb.bounded(whole, "text")):
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for _, h, at in tokens(batch.column("text")):
                 base, own, rare = shared.value.score(h, at)

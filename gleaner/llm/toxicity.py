@@ -1,9 +1,9 @@
 """Toxicity of texts after noisy-channel restoration of obfuscated words.
 
 1. A character language model (order ``ORDER``) is counted on the words of all labelled training rows.
-2. Tokens that look obfuscated (digits or signs among letters, a letter three times or more in a row, letters spaced
-   out one by one) become a lattice of what each character may stand for; Viterbi decoding under the language model
-   picks the reading. All other text stays.
+2. Tokens that look obfuscated (digits or signs among or after letters, ``*`` or ``#`` between letters, a letter three
+   times or more in a row, two letters doubled, letters spaced out one by one) become a lattice of what each character
+   may stand for; Viterbi decoding under the language model picks the reading. All other text stays.
 3. Words of the restored text and their beginnings are hashed to ``2 ** BITS`` features. For all labelled training rows
    it is counted in how many documents of either label each feature stands; the ``FEATURES`` features most tied to
    the toxic label (by the log-likelihood ratio, ``LEAST_G2`` at least) are kept.
@@ -41,8 +41,9 @@ LEET = {
 }
 SEPARATORS = " .-_*'~"
 #: Costs of the channel, in nats: a sign for a letter, a sign that stands for itself, a letter more than meant, a
-#: separator that hides a word, and one that parts words.
-SUBSTITUTED, LITERAL, REPEATED, HIDDEN, PARTED = 0.7, 6.0, 1.0, 0.2, 1.0
+#: separator that hides a word, one that parts words, and a star in place of any letter.
+SUBSTITUTED, LITERAL, REPEATED, HIDDEN, PARTED, MASKED = 0.7, 6.0, 1.0, 0.2, 1.0, 3.0
+MASKS, ALPHABET = "*#", "abcdefghijklmnopqrstuvwxyz"
 
 _letter = np.zeros(256, dtype=bool)
 _letter[65:91] = _letter[97:123] = _letter[128:] = True
@@ -50,6 +51,10 @@ _digit = np.zeros(256, dtype=bool)
 _digit[48:58] = True
 _sign = np.zeros(256, dtype=bool)
 _sign[[ord(c) for c in LEET]] = True
+_late = np.zeros(256, dtype=bool)  # signs that stand for letters also at a word's end; the others end sentences there
+_late[[ord(c) for c in "@$+|"]] = True
+_mask = np.zeros(256, dtype=bool)
+_mask[[ord(c) for c in MASKS]] = True
 _STRIP = "\"',;:?.)]}[{<>«»…#%&*^~`=/\\"
 
 
@@ -95,6 +100,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
         c, j = token[i], i + 1
         if c in LEET:
             out.append([*((x, SUBSTITUTED) for x in LEET[c]), (c, LITERAL)])
+        elif c in MASKS and 0 < i < len(token) - 1 and token[i - 1].isalpha() and token[j].isalpha():
+            out.append([("", HIDDEN), (" ", PARTED), *((x, MASKED) for x in ALPHABET)])
         elif c in SEPARATORS:
             while j < len(token) and token[j] in SEPARATORS:
                 j += 1
@@ -147,13 +154,19 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         mark[:-7] |= (data[:-5] >= 192) & (data[:-5] < 224) & (data[:-5] == data[2:-3]) & (data[:-5] == data[4:-1]) & (data[1:-4] == data[3:-2]) & (data[1:-4] == data[5:])
     if len(data) > 1:
         mark[: len(data) - 1] |= _sign[data[:-1]] & letter[1:]
-        mark[1 : len(data)] |= _digit[data[1:]] & letter[:-1]
+        mark[1 : len(data)] |= (_digit | _late)[data[1:]] & letter[:-1]
+    if len(data) > 2:
+        mark[1 : len(data) - 1] |= letter[:-2] & _mask[data[1:-1]] & letter[2:]
     # a mark counts where its token begins before it and ends after it
     bad = np.zeros(len(starts), dtype=bool)
     at = np.flatnonzero(mark[: len(data)])
     token = np.searchsorted(starts, at, side="right") - 1
-    fits = (token >= 0) & (at + 1 < stops[np.maximum(token, 0)]) | (token >= 0) & _digit[data[at]] & (at > starts[np.maximum(token, 0)])
+    fits = (token >= 0) & (at + 1 < stops[np.maximum(token, 0)]) | (token >= 0) & (_digit | _late)[data[at]] & (at > starts[np.maximum(token, 0)])
     bad[token[fits]] = True
+    # two letters doubled, or more
+    if len(data) > 1:
+        pair = np.concatenate([[0], np.cumsum(np.append(letter[:-1] & (data[:-1] < 128) & (low[:-1] == low[1:]), False))])
+        bad |= pair[stops - 1] - pair[starts] >= 2
     # letters spaced out: four tokens or more of one letter each, of one text; a character may have several bytes
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     single = (lead[stops] - lead[starts] == 1) & (letter[starts] | _sign[data[starts]])
@@ -281,7 +294,7 @@ def train(documents: DataFrame, labels: DataFrame, *, bits: int = BITS, n_featur
             return pa.RecordBatch.from_pydict({"gram": pa.array([*grams], pa.string()), "n": pa.array([float(n) for n in grams.values()], pa.float64())})
 
         words: Counter = Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in tb.bounded(whole, "text")):
             for text in batch.column("text").to_pylist():
                 words.update(w.lower() for w in text.replace(",", " ").replace(".", " ").split() if w.isalpha())
                 if len(words) >= FLUSH:
@@ -295,7 +308,7 @@ def train(documents: DataFrame, labels: DataFrame, *, bits: int = BITS, n_featur
 
     def count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer, counts = Restorer(shared.value), np.zeros((2, 1 << bits), dtype=np.int64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in tb.bounded(whole, "text")):
             toxic = np.asarray(batch.column("toxic")) > 0
             for first, data, offsets in restorer.slices(batch.column("text")):
                 f, of = features(data, offsets, bits)
@@ -347,10 +360,9 @@ def score(documents: DataFrame, model: Model, *, text: str = "text", out: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(shared.value.chars)
-        for batch in batches:
-            if batch.num_rows:
-                new = pa.array(shared.value.scores(batch.column(text), restorer), pa.float64())
-                yield pa.RecordBatch.from_arrays([new if n == out else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
+        for batch in (part for whole in batches for part in tb.bounded(whole, text)):
+            new = pa.array(shared.value.scores(batch.column(text), restorer), pa.float64())
+            yield pa.RecordBatch.from_arrays([new if n == out else batch.column(n) for n in batch.schema.names], names=batch.schema.names)
 
     return wide.mapInArrow(run, wide.schema)
 

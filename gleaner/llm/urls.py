@@ -1,6 +1,6 @@
 """URL filter: rules first, then logistic regression on hashed character n-grams of host and path.
 
-The model is trained on the driver from a small labelled table (``LABELLED`` unless another is given) and has
+The model is trained on the driver from a small labelled table (``labelled_table()`` unless another is given) and has
 ``2 ** bits`` weights, whatever the data. N-grams of 3 to 5 bytes, of the host between marks and of the path, are
 hashed together with the part that they are from.
 
@@ -24,23 +24,44 @@ from .common import ascii_lower
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 BITS, GRAMS, STEPS, RATE, RIDGE, BLOCK_AT = 18, (3, 4, 5), 300, 0.5, 1e-3, 0.5
 
-#: The labelled table is made of these: words of hosts and paths that are unwanted, and of ones that are wanted.
+#: The labelled table is made of these by rule: words that unwanted hosts are made of, and words of wanted ones. They are
+#: general words of either kind; no host of any table is among them.
 UNWANTED = (
-    "cheap-pills casino-bonus spam-farm free-money adult-chat win-prize hot-deals payday-loans click-here bet-now lottery-winner porn-videos replica-watches viagra-store get-rich seo-links "
-    "casino-games win-cash ads-network ads-tracker track-clicks free-spins online-bets pills-shop"
+    "casino poker slots roulette jackpot betting bookie wager gamble lotto lottery sweepstakes pills pharmacy viagra cialis meds steroids slimming dietpills loans payday "
+    "lender creditfix porn xxx adult sexcam webcam escort hookup fetish nude erotic replica knockoff fake cheap discount bargain deals coupon clearance free bonus prize "
+    "winner giveaway cash money earn profit income getrich millionaire forex binary pump bitcoin miner warez crack keygen serials torrent nulled hack cheats spam bulkmail "
+    "seo backlink linkfarm traffic clicks popup popads adserver tracker banner toolbar malware phish scam"
 ).split()
 WANTED = (
-    "news library museum university weather recipes gardens history science travel school hospital council theatre river harbour "
-    "market bakery orchestra cycling hiking astronomy chemistry physics botany painting letters poetry radio stories kitchen railway "
-    "village mountain ocean forest island bridge castle gallery archive journal forum teacher student workshop"
+    "news times herald gazette journal library museum gallery theatre opera orchestra archive university college school academy institute faculty science physics "
+    "chemistry biology astronomy geology botany mathematics history philosophy poetry novel painting sculpture weather climate river harbour island mountain valley forest "
+    "garden farm kitchen recipes bakery cafe market village town city council parliament court police hospital clinic nurse railway airport bridge castle church abbey "
+    "cycling hiking sailing football tennis chess travel hotel camping radio studio software code kernel docs wiki forum blog notes teacher student workshop"
 ).split()
-#: Each word with the same hosts and paths, so that only the words tell; wanted words are more, as wanted pages are.
-LABELLED = tuple(
-    (f"https://{('www.', '', 'blog.', 'm.')[(i + k) % 4]}{word}.example.{('com', 'org', 'net')[k]}/{('en', 'fr', 'de', 'es')[(i + i // 4 + k) % 4]}/{37 * i + k}{('', '.html', '/')[k]}", label)
-    for label, words in ((1, UNWANTED), (0, WANTED))
-    for i, word in enumerate(words)
-    for k in range(3)
-)
+#: Frequent letter groups of English, German, French and Spanish: names made of these say nothing, and count as wanted.
+GROUPS = (
+    "tion ment ing the and that ble ness ough ight er est or an he re ou th sh wh st un ver ein ich sch ung heit keit lich gen auf les que eau oir ette ance eur ais "
+    "ciones dad mente ando iento os as la el ado"
+).split()
+PAGES = ("/", "/en/17", "/fr/905/", "/index.html", "/2024/05/a-day-out", "/p/77120.html", "/de/list?page=2", "/articles/how-it-began", "/es/4", "/about/")
+
+
+def host_names(words: list[str]) -> list[str]:
+    """Hosts of one word and of two, joined in several ways, under several names and domains."""
+    n, out = len(words), []
+    for i, word in enumerate(words):
+        other, third = words[(7 * i + 3) % n], words[(11 * i + 5) % n]
+        out += [f"{('', 'www.')[i % 2]}{word}{('.com', '.net', '.org', '.info')[i % 4]}", f"{('www.', '', 'm.')[i % 3]}{word}-{other}.{('example.', '')[i % 2]}{('org', 'com', 'net')[i % 3]}"]
+        out += [f"{('blog.', '', 'shop.')[i % 3]}{third}{word}.{('co.uk', 'example.com', 'de')[i % 3]}", f"{word}{i % 90 + 10}.{('example.net', 'org', 'biz')[i % 3]}"]
+    return out
+
+
+def labelled_table() -> list[tuple[str, int]]:
+    """(url, 1 for unwanted). Hosts of both kinds have the same pages, so that these say nothing."""
+    n = len(GROUPS)
+    names = [GROUPS[i % n] + GROUPS[(i * (2 + i // n) + 1) % n] + (GROUPS[(5 * i + 2) % n] if i % 3 == 0 else "") for i in range(8 * n)]
+    hosts = [(h, label) for label, words in ((1, UNWANTED), (0, WANTED), (0, names)) for h in host_names(words)]
+    return [(f"https://{host}{PAGES[(i + 3 * k) % len(PAGES)]}", label) for i, (host, label) in enumerate(hosts) for k in range(3)]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -80,15 +101,18 @@ def train(table: list[tuple[str, int]], bits: int = BITS) -> tuple[np.ndarray, f
     hosts, paths = zip(*[_split(u) for u, _ in table], strict=True)
     rows = [*features(pa.array(hosts, pa.string()), pa.array(paths, pa.string()), bits)]
     y = np.array([label for _, label in table], dtype=float)
-    at, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    used, at = np.unique(np.concatenate(rows), return_inverse=True)  # n-grams that stand nowhere keep the weight zero
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     value = 1 / np.sqrt(np.maximum([len(r) for r in rows], 1))
-    w, bias = np.zeros(1 << bits), 0.0
+    w, bias = np.zeros(len(used)), 0.0
     for _ in range(STEPS):
         z = np.bincount(owner, w[at], len(rows)) * value + bias
         gap = 1 / (1 + np.exp(-z)) - y
-        w -= RATE * (np.bincount(at, (gap * value)[owner], 1 << bits) + RIDGE * w)
+        w -= RATE * (np.bincount(at, (gap * value)[owner], len(used)) + RIDGE * w)
         bias -= RATE * gap.mean()
-    return w, bias
+    whole = np.zeros(1 << bits)
+    whole[used] = w
+    return whole, bias
 
 
 def _split(url: str) -> tuple[str, str]:
@@ -100,7 +124,7 @@ def _split(url: str) -> tuple[str, str]:
 
 def judge(pages: DataFrame, *, url: str = "url", rules=RULES, labelled: list[tuple[str, int]] | None = None, bits: int = BITS) -> DataFrame:
     """``pages`` with host, path, rule, verdict and block_score (the model's probability), replacing such columns."""
-    model = pages.sparkSession.sparkContext.broadcast(train([*(labelled or LABELLED)], bits))
+    model = pages.sparkSession.sparkContext.broadcast(train(labelled or labelled_table(), bits))
     host, path = host_and_path(F.col(f"`{url}`"))
     made = ("host", "path", "rule", "verdict", "block_score")
     own = [F.col(f"`{c}`") for c in pages.columns if c not in made or c == url]
@@ -108,7 +132,7 @@ def judge(pages: DataFrame, *, url: str = "url", rules=RULES, labelled: list[tup
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, bias = model.value
-        for batch in batches:
+        for batch in (part for whole in batches for part in tb.bounded(whole, "host", "path")):
             z = [bias + w[f].sum() / max(len(f), 1) ** 0.5 for f in features(batch.column("host"), batch.column("path"), bits)]
             scores = pa.array(1 / (1 + np.exp(-np.array(z, dtype=float))), pa.float64())
             columns = [scores if n == "block_score" else batch.column(n) for n in batch.schema.names]
