@@ -5,11 +5,16 @@ ones), so equal windows own equal strings at the same place: the suffixes that b
 
 1. Suffixes whose leading string stands nowhere else are dropped: they begin no repeat.
 2. The others carry the bytes of the windows that they own. Splitters, sampled from them, range-partition them by
-   their leading bytes; each bucket is sorted by multikey quicksort on tokens of eight bytes, to the right and to the
-   left of where the suffixes begin, and neighbours' common lengths tell which windows are equal. All but the first of
-   equal windows are repeats.
-3. A leading string that is so frequent that splitters fall on it several times would be cut by bucket borders; its
-   windows are dealt out one by one, by their own bytes, and so compared across the borders.
+   their leading bytes, some ranges for each partition. A range comes sorted and is read as a stream of buckets, which
+   end only where the leading string changes; each is sorted by multikey quicksort on tokens of eight bytes, to the
+   right and to the left of where the suffixes begin, and neighbours' common lengths tell which windows are equal. All
+   but the first of equal windows are repeats.
+3. A leading string that fills much of a range by itself could not be cut; its windows are dealt out one by one, by
+   their own bytes, come sorted by these and their places, and are compared as they pass.
+
+The sample grows with the number of ranges, which is that of partitions twice over (``MOST_RANGES`` at most: the bound
+of what the driver collects); only how even the ranges are depends on it. A string that one task meets again and again
+is told twice by it, so the rows of a string grow with the tasks and not with its copies.
 
 Equal spans meet their first copy in the slice of text where they are found, and go on as one; so a frequent passage
 costs a row a slice, not a row a copy. Bytes are judged on the input: all repeats are removed at once.
@@ -21,6 +26,7 @@ rows of equal doc_id are ordered by text; an empty table gives an empty one; oth
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +36,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import batches_of, cut, partitions
+from .common import batches_of, cut, discard, partitions
 
-LENGTH, GRAM, BUCKET, SAMPLE_DOCS = 100, 32, 16_384, 2000
+LENGTH, GRAM, BUCKET = 100, 32, 16_384
+RANGES, MOST_RANGES, SAMPLES, SEEN = 2, 1 << 14, 32, 1 << 21
 REACH = LENGTH - GRAM  # how far before its string a window may begin
 _PLACE = np.uint64((1 << 24) - 1)
 
@@ -100,24 +107,35 @@ def _unpacked(packed: pa.Array) -> list[bytes]:
 
 def _strings(docs: DataFrame) -> DataFrame:
     """(key, doc, pos, known) of all owning strings; of equal ones in a slice all are known to be repeated, and only one
-    carries the string's own key."""
+    carries the string's own key, as long as the task hasn't told it twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(0, np.uint64), np.zeros(0, np.uint64)  # strings told so far, sorted; forgotten when they are too many
         for batch in batches:
             doc = np.asarray(batch.column("doc"))
             for first, data, offsets in tb.slices(batch.column("text")):
                 pos, _, _, h, of = owned(data, offsets)
                 if not len(pos):
                     continue
-                _, one, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                known = n[back] > 1
+                different, one, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                told = _among(twice, different)
+                known = (n > 1)[back] | told[back]
                 key = tb.mixed(h ^ (pos.astype(np.uint64) << np.uint64(32)) ^ of.astype(np.uint64))
-                key[one] = h[one]
+                key[one[~told]] = different[~told]
                 yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "doc": doc[first + of], "pos": (pos - offsets[of]).astype(np.int32), "known": known})
+                again = ~told & _among(once, different)
+                twice = np.union1d(twice, different[again]) if len(twice) < SEEN else different[again]
+                once = np.union1d(once, different[~told & ~again]) if len(once) < SEEN else different[~told & ~again]
 
     return docs.select("doc", "text").mapInArrow(run, "key long, doc long, pos int, known boolean")
 
 
+def _among(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(wanted), dtype=bool)
+    return keys[np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)] == wanted
+
+
 def matrix(rows: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings as rows of ``width`` bytes, padded with zeros, and their lengths."""
     sizes = np.array([len(r) for r in rows], dtype=np.int64)
@@ -180,14 +198,9 @@ def _spans_table(doc, start, end) -> pa.Table:
 
 def compare(rows: pa.Table) -> pa.Table:
     """The spans (doc, start, end) that are repeats, from one bucket of (doc, start, lead, bytes): the bytes of a run of
-    windows, ``lead`` of them before the owning string, or single windows with a lead of -1."""
+    windows, ``lead`` of them before the owning string."""
     doc, start, lead = (rows.column(c).to_numpy() for c in ("doc", "start", "lead"))
     whole = [np.frombuffer(b, dtype=np.uint8) for b in rows.column("bytes").to_pylist()]
-    if len(lead) and lead[0] < 0:
-        right, _ = matrix(whole, LENGTH)
-        order = multikey_sort(right)
-        again = ~_firsts(classes(right, order, common_lengths(right, order), LENGTH), doc, start)
-        return _spans_table(doc[again], start[again], start[again] + LENGTH)
     right, r_size = matrix([b[k:] for b, k in zip(whole, lead, strict=True)], LENGTH)
     left, l_size = matrix([b[:k][::-1] for b, k in zip(whole, lead, strict=True)], REACH)
     r_order, l_order = multikey_sort(right), multikey_sort(left)
@@ -268,64 +281,95 @@ def _runs(docs: DataFrame, places: DataFrame, splitters: list[bytes], frequent:
     return joined.mapInArrow(run, "bucket int, doc long, start int, lead int, bytes binary")
 
 
-def _splitters(docs: DataFrame, places: DataFrame, n_strings: int) -> tuple[list[bytes], set[bytes]]:
-    """Leading strings that cut the suffixes into even buckets, from a bounded sample of documents, and those that are
-    so frequent that they fill a bucket."""
-    n = max(1, -(-n_strings // BUCKET))
-    if n == 1:
+def _splitters(docs: DataFrame, places: DataFrame, n_strings: int, ranges: int) -> tuple[list[bytes], set[bytes]]:
+    """Leading strings that cut the suffixes into even ranges, from about ``SAMPLES`` of them for each, and those that
+    fill half a range or more (and a bucket)."""
+    wanted = ranges * SAMPLES
+    if n_strings <= BUCKET:
         return [], set()
-    some = max(1, places.count() // SAMPLE_DOCS)
+    some = max(1, n_strings // wanted)  # whole documents are taken, one of so many
     few = places.where(F.pmod(F.xxhash64("doc"), F.lit(some)) == 0)
-    ids = F.broadcast(few.select(F.col("doc").alias("k")))
-    rows = _runs(docs.join(ids, F.col("doc") == F.col("k"), "left_semi"), few, [], set(), 1).where("bucket is not null")
-    grams = sorted(bytes(r[0]) for r in rows.select(F.substring("bytes", 1 + F.col("lead"), F.lit(GRAM))).collect())
-    cuts = [grams[len(grams) * i // n] for i in range(1, n)] if grams else []
-    frequent = {g for g, h in zip(cuts, cuts[1:]) if g == h}
-    return sorted(set(cuts)), frequent
+    near = few.select(F.col("doc").alias("k"))
+    rows = _runs(docs.join(near, F.col("doc") == F.col("k"), "left_semi"), few, [], set(), 1).where("bucket is not null")
+    grams = sorted(bytes(r[0]) for r in rows.select(F.substring("bytes", 1 + F.col("lead"), F.lit(GRAM))).toLocalIterator())
+    if not grams:
+        return [], set()
+    cuts = [grams[len(grams) * i // ranges] for i in range(1, ranges)]
+    count = Counter(grams)
+    least = max(len(grams) / ranges / 2, len(grams) / n_strings * BUCKET)
+    return sorted(set(cuts)), {g for g in set(cuts) if count[g] >= least}
 
 
 def repeats(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, doc_id, text) of all documents, and (doc, spans): the repeated byte spans of those that have any."""
     docs = _ordered(documents)
-    with batches_of(docs.sparkSession, 1000):
+    spark = docs.sparkSession
+    with batches_of(spark, 1000):
         found = _strings(docs).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("known or n > 1")
         places = cut(found.groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("places")))
         n_strings = places.agg(F.sum(F.size("places"))).first()[0] or 0
-        splitters, frequent = _splitters(docs, places, n_strings)
-        n_deal = max(1, n_strings // BUCKET)
-        runs = _runs(docs, places, splitters, frequent, n_deal)
+        ranges = min(MOST_RANGES, RANGES * partitions(spark))
+        splitters, frequent = _splitters(docs, places, n_strings, ranges)
+        runs = _runs(docs, places, splitters, frequent, 8 * ranges)
         # known repeats are dealt by document: they pass through the same shuffle
-        dealt = runs.withColumn("deal", F.when(F.col("bucket").isNull(), F.xxhash64("doc")).otherwise(F.col("bucket")))
-        sorted_rows = dealt.repartition(partitions(docs.sparkSession), "deal").sortWithinPartitions("bucket")
+        dealt = runs.withColumn("deal", F.when(F.col("bucket").isNull(), F.xxhash64("doc")).otherwise(F.xxhash64("bucket")))
+        leading = F.when(F.col("lead") < 0, F.col("bytes")).otherwise(F.substring("bytes", 1 + F.col("lead"), F.lit(GRAM)))
+        sorted_rows = dealt.repartition(partitions(spark), "deal").sortWithinPartitions("bucket", leading, "doc", "start")
         spans = sorted_rows.select("bucket", "doc", "start", "lead", "bytes").mapInArrow(_by_bucket, "doc long, start int, end int")
         ends = cut(spans.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans")))
+        discard(places)
     return docs, ends
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares each bucket; the rows come sorted by bucket, known repeats (null) first."""
-    held, now = [], None
+def _gram(batch: pa.RecordBatch, i: int) -> bytes:
+    lead = batch.column("lead")[i].as_py()
+    return batch.column("bytes")[i].as_py()[lead : lead + GRAM]
 
-    def done() -> Iterator[pa.RecordBatch]:
-        if held:
-            yield from compare(pa.Table.from_batches(held)).to_batches()
+
+def _by_bucket(batches: Iterator[pa.RecordBatch], size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Compares the sorted rows: known repeats (a null bucket) come first and pass, then single windows (negative
+    buckets), of which all but the first of equal ones are repeats, then ranges, read in buckets of about ``size`` rows
+    that end where the leading string or the range changes."""
+    size = size or BUCKET
+    held: list[pa.RecordBatch] = []
+    n, window = 0, b""
+
+    def compared(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if parts:
+            yield from compare(pa.Table.from_batches(parts)).to_batches()
 
     for batch in batches:
-        bucket = np.asarray(batch.column("bucket").fill_null(-(1 << 31)))
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        for a, b in zip([0, *cuts], [*cuts, len(bucket)], strict=True):
-            part = batch.slice(a, b - a)
-            if not part.num_rows:
-                continue
-            if bucket[a] == -(1 << 31):
-                doc, start, size = (part.column(c).to_numpy() for c in ("doc", "start", "lead"))
-                yield from _spans_table(doc, start, start + size).to_batches()
-                continue
-            if bucket[a] != now:
-                yield from done()
-                held, now = [], bucket[a]
-            held.append(part)
-    yield from done()
+        bucket, lead = np.asarray(batch.column("bucket").fill_null(-(1 << 31))), np.asarray(batch.column("lead"))
+        known = int(np.searchsorted(bucket, -(1 << 31), side="right"))
+        if known:
+            doc, start, long = (batch.column(c).slice(0, known).to_numpy() for c in ("doc", "start", "lead"))
+            yield from _spans_table(doc, start, start + long).to_batches()
+        dealt = int(np.searchsorted(bucket, 0, side="left"))
+        again = []
+        for i in range(known, dealt):
+            here = batch.column("bytes")[i].as_py()
+            if here == window:
+                again.append(i)
+            window = here
+        if again:
+            doc, start = (batch.column(c).take(pa.array(again)).to_numpy() for c in ("doc", "start"))
+            yield from _spans_table(doc, start, start + LENGTH).to_batches()
+        at = dealt
+        while at < batch.num_rows:
+            take = min(batch.num_rows - at, max(size - n, 0))
+            end = at + take
+            if n + take >= size:  # full: on to the next change
+                last = _gram(batch, end - 1) if take else _gram(held[-1], held[-1].num_rows - 1)
+                while end < batch.num_rows and _gram(batch, end) == last:
+                    end += 1
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                n += end - at
+            if end < batch.num_rows and n >= size:
+                yield from compared(held)
+                held, n = [], 0
+            at = end
+    yield from compared(held)
 
 
 def without(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
