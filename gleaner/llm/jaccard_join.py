@@ -7,8 +7,8 @@ the postings its prefix meets, and the candidates that must be verified, which n
 lesser l of its two documents.
 
 Texts of equal words are one class, known by a digest of 128 bits; classes are joined once. A first round tests each
-prefix token's documents against one leader, the one with the fewest tokens before it; documents that are connected
-already are never compared again, so a group of near copies costs one comparison a document, not all pairs. The second
+prefix token's documents against one leader, the one with the fewest tokens before it (a token of very many documents
+has several groups of them, whose leaders meet as well); documents that are connected already are never compared again, so a group of near copies costs one comparison a document, not all pairs. The second
 round takes every pair of still unconnected documents that share enough prefix tokens, so no link between different
 components is lost; pairs within the component that holds most of a token's documents are not even looked at. Filters
 (lengths, and what can be common after the first shared token) only drop pairs that can't reach t. Pairs that are left
@@ -40,7 +40,7 @@ from . import textbytes as tb
 from .common import batches_of, components, cut, discard, own_columns, packed, partitions
 
 MOST_L, VERIFY_COST, LEAST_HEAVY, TOLD_FROM, HEAVY_TOKENS, BROADCAST_PAIRS = 4, 20, 128, 4, 1 << 20, 500_000
-BATCH_ROWS, BATCH_PAIRS, PAIRS_A_LEADER, LONG = 1000, 128, 512, 20_000
+BATCH_ROWS, BATCH_PAIRS, PAIRS_A_LEADER, TEXTS_A_PART, LONG = 1000, 128, 512, 4096, 20_000
 _NEXT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,7 +138,7 @@ def _texts(documents: DataFrame, n: int, node_bits: int) -> DataFrame:
                         size += len(tokens)
                 own = {"n": pa.array(sizes, pa.int32()), "node": pa.array(nodes, pa.int64()), "rest": pa.array(rests, pa.int64()), "words": pa.array(words, pa.binary())}
                 yield rows(kind, id=batch.column("id"), doc_id=batch.column("doc_id"), **own)
-                if size >= 1 << 22:
+                if size >= 1 << 21:
                     token, df = told(held)
                     yield rows(kind, token=pa.array(token), df=pa.array(df))
                     held, size, seen = [], 0, set()
@@ -165,10 +165,11 @@ def _classes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _prefixes(texts: DataFrame, n: int, percent: int, extra: int, heavy, bits: int) -> DataFrame:
-    """(token, node, n, pos) of each text's prefix, ``extra`` tokens longer than the shortest; a class once a task."""
+    """(token, part, node, n, pos) of each text's prefix, ``extra`` tokens longer than the shortest; a class once a task.
+    ``heavy``: the frequent tokens and into how many parts the texts of each are dealt; part 0 holds all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, seen, unpack = heavy.value, set(), zstandard.ZstdDecompressor()
+        (last, parts), seen, unpack = heavy.value, set(), zstandard.ZstdDecompressor()
         for batch in batches:
             mine = [(node, words) for node, words in zip(batch.column("node").to_pylist(), batch.column("words"), strict=True) if node not in seen and not seen.add(node)]
             if len(seen) > 1 << 20:
@@ -177,14 +178,17 @@ def _prefixes(texts: DataFrame, n: int, percent: int, extra: int, heavy, bits: i
             for (node, _), s in zip(mine, token_sets(plain.cast(pa.large_string(), safe=False), n, bits), strict=True):
                 s, size = s.view(np.int64), len(s)
                 most = min(size, size + (-percent * size // 100) + 1 + extra)
+                part = np.zeros(len(s), np.int32)
                 if len(last):
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     is_last = last[at] == s
-                    s = np.concatenate([s[~is_last], s[is_last]])
-                s = s[:most]
-                yield pa.RecordBatch.from_pydict({"token": s, "node": np.full(len(s), node), "n": np.full(len(s), size, np.int32), "pos": np.arange(len(s), dtype=np.int32)})
+                    several = parts[at[is_last]]
+                    part[is_last] = np.where(several > 1, 1 + node % several, 0)
+                    s, part = (np.concatenate([x[~is_last], x[is_last]]) for x in (s, part))
+                s, part = s[:most], part[:most]
+                yield pa.RecordBatch.from_pydict({"token": s, "part": part, "node": np.full(len(s), node), "n": np.full(len(s), size, np.int32), "pos": np.arange(len(s), dtype=np.int32)})
 
-    return texts.where("n > 0").select("node", "words").mapInArrow(_joined_batches(run), "token long, node long, n int, pos int")
+    return texts.where("n > 0").select("node", "words").mapInArrow(_joined_batches(run), "token long, part int, node long, n int, pos int")
 
 
 def _joined_batches(run):
@@ -259,15 +263,18 @@ def _grouped(documents: DataFrame, n: int, percent: int, bits: int = 64, node_bi
     return texts, classes.join(ends, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _heavy(table: DataFrame) -> np.ndarray:
-    """The most frequent tokens, ``HEAVY_TOKENS`` at most: the bound of what is broadcast to order tokens."""
+def _heavy(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, sorted, ``HEAVY_TOKENS`` at most (the bound of what is broadcast), and the parts into
+    which the texts of each are dealt."""
     often = cut(table.where("id is null").groupBy("token").agg(F.sum("df").alias("df")))
     limit = LEAST_HEAVY
     while often.where(F.col("df") > limit).count() > HEAVY_TOKENS:
         limit *= 2
-    heavy = np.sort(often.where(F.col("df") > limit).select("token").toArrow().column("token").to_numpy())
+    rows = often.where(F.col("df") > limit).toArrow()
     discard(often)
-    return heavy
+    token, df = (rows.column(c).to_numpy() for c in ("token", "df"))
+    order = np.argsort(token)
+    return token[order], 1 + df[order] // TEXTS_A_PART
 
 
 def _joined(documents: DataFrame, n: int, percent: int, bits: int, node_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -277,30 +284,32 @@ def _joined(documents: DataFrame, n: int, percent: int, bits: int, node_bits: in
     texts, classes = _classes(table)
     heavy = spark.sparkContext.broadcast(_heavy(table))
 
-    rows = _prefixes(texts, n, percent, MOST_L - 1, heavy, bits).dropDuplicates(["token", "node"])
-    rows = cut(rows)
-    # how many texts hold a token, and its leader, summed before they meet
-    held = rows.groupBy(F.col("token").alias("of")).agg(F.count("*").alias("df"), F.min(F.struct("pos", "node", "n")).alias("first")).where("df > 1")
-    shared = rows.join(held, F.col("token") == F.col("of")).drop("of")
+    rows = _prefixes(texts, n, percent, MOST_L - 1, heavy, bits).repartition(partitions(spark), "token", "part").dropDuplicates(["token", "part", "node"])
+    # of a token that is dealt into parts the counts are those of a part; they only choose l
+    of_token = Window.partitionBy("token", "part")
+    shared = rows.withColumns({"df": F.count("*").over(of_token), "first": F.min(F.struct("pos", "node", "n")).over(of_token)}).where("df > 1 or part > 0")
     of_node = Window.partitionBy("node")
     base = F.col("n") - ceil_share(F.col("n"), percent)
     sums = [F.sum(F.when(F.col("pos") < base + l, F.col("df") - 1)).over(of_node).alias(f"s{l}") for l in range(1, MOST_L + 1)]
     cost = [F.when(F.lit(l) <= ceil_share(F.col("n"), percent), F.coalesce(f"s{l}", F.lit(0)) * F.lit(1 + VERIFY_COST / l)) for l in range(1, MOST_L + 1)]
-    matches = shared.select("token", "node", "n", "pos", F.col("first.node").alias("first_node"), F.col("first.n").alias("first_n"), *sums)
+    matches = shared.select("token", "part", "node", "n", "pos", F.col("first.node").alias("first_node"), F.col("first.n").alias("first_n"), *sums)
     matches = matches.withColumn("l", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int"))
     prefix = cut(matches.where(F.col("pos") < base + F.col("l")).select("token", "node", "n", "pos", "l", "first_node", "first_n"))
 
     # first round: each token's documents against its leader, the one that has the fewest tokens before it
-    stars = cut(
-        prefix.where((F.col("node") != F.col("first_node")) & _similar_sizes(F.col("n"), F.col("first_n"), percent))
-        .select(F.col("first_node").alias("a"), F.col("node").alias("b")).groupBy("a", "b").count().drop("count")
-    )
+    leaders = prefix.where("node = first_node").select("token", "node", "n", "pos")
+    top = leaders.groupBy("token").agg(F.min(F.struct("pos", "node", "n")).alias("t"), F.count("*").alias("parts")).where("parts > 1").select(F.col("token").alias("of"), "t")
+    met = [
+        prefix.select(F.col("first_node").alias("a"), F.col("first_n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")),
+        leaders.join(top, F.col("token") == F.col("of")).select(F.col("t.node").alias("a"), F.col("t.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")),
+    ]
+    stars = cut(met[0].unionByName(met[1]).where((F.col("a") != F.col("b")) & _similar_sizes(F.col("na"), F.col("nb"), percent)).groupBy("a", "b").count().drop("count"))
     links = _verified(stars, texts, classes, n, percent)
     now = components(links)
 
     # second round: all pairs of unconnected documents that share enough prefix tokens. A pair that has o common tokens
     # or more has the first l of them where at least o - l tokens follow, in both documents: other places don't count
-    placed = prefix.drop("first_node", "first_n").join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = prefix.drop("part", "first_node", "first_n").join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sized = placed.groupBy("token", "component").count().groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", "count").alias("most"))
     left = cut(placed.join(sized.where("parts > 1").select(F.col("token").alias("of"), "most"), F.col("token") == F.col("of")).drop("of"))
     b = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "l", "component")])

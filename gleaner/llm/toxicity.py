@@ -198,7 +198,7 @@ class Restorer:
         if got is None:
             text = raw.decode("utf-8", "replace").strip(_STRIP).rstrip("!")
             got = (" " + decode(text, self.model) + " ").encode() if any(c.isalpha() for c in text) else raw
-            if len(self.cache) > 1 << 17:
+            if len(self.cache) > 1 << 16:
                 self.cache.clear()
             if len(raw) < 256:
                 self.cache[raw] = got

@@ -118,12 +118,14 @@ def test_jaccard_join_by_brute_force(spark):
     assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == [(len(s), t) for s, t in zip(sets, top, strict=True)]
 
 
-@pytest.mark.parametrize(("bits", "node_bits"), [(9, 64), (64, 3), (5, 2)])
-def test_colliding_hashes_change_nothing(spark, bits, node_bits):
-    texts = prose(30, seed=8, words=40)
+def test_colliding_hashes_and_dealt_tokens_change_nothing(spark, monkeypatch):
+    texts = [*prose(20, seed=8, words=40), *(f"a passage that all of these share with one another but for the last of its words {i % 9}" for i in range(30))]
     docs = documents(spark, texts).selectExpr("doc_id as id", "doc_id", "text")
-    right, forced = ({tuple(r) for r in jaccard_join.similar_documents(docs, **o).collect()} for o in ({}, {"bits": bits, "node_bits": node_bits}))
-    assert forced == right and any(r[3] != r[0] for r in right)
+    rows = lambda **o: {tuple(r) for r in jaccard_join.similar_documents(docs, percent=70, **o).collect()}
+    right = rows()
+    monkeypatch.setattr(jaccard_join, "LEAST_HEAVY", 4)
+    monkeypatch.setattr(jaccard_join, "TEXTS_A_PART", 2)
+    assert rows(bits=7, node_bits=3) == right and len({r[3] for r in right if r[0] >= 27}) == 1
 
 
 def test_shingles_are_counted_on_words():
@@ -240,6 +242,8 @@ def test_chat_parts_become_placeholders(spark):
 @pytest.mark.parametrize("bucket", [16, 16_384])
 def test_repeats_by_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(suffixes, "BUCKET", bucket)
+    small = suffixes._by_bucket
+    monkeypatch.setattr(suffixes, "_by_bucket", lambda batches: small(batches, bucket))
     rng = random.Random(11)
     line = "a line that very many of the documents share, with more than one hundred bytes in it so that it counts, é."
     texts = prose(25, words=90) + [f"{rng.random()} {line} {rng.random()}" for _ in range(40)] + ["ab" * 400]
