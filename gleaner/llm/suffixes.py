@@ -39,7 +39,7 @@ from . import textbytes as tb
 from .common import batches_of, cut, discard, partitions
 
 LENGTH, GRAM, BUCKET = 100, 32, 16_384
-RANGES, MOST_RANGES, SAMPLES, SEEN = 2, 1 << 14, 32, 1 << 21
+RANGES, MOST_RANGES, SAMPLES, SEEN = 2, 1 << 14, 32, 1 << 18
 REACH = LENGTH - GRAM  # how far before its string a window may begin
 _PLACE = np.uint64((1 << 24) - 1)
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 
 BITS, FEATURES, LEAST_G2, SAMPLE, ORDER, REJECT_AT = 20, 8192, 24.0, 8000, 4, 0.7
-BROADCAST_LABELS, FLUSH = 2_000_000, 1 << 16
+BROADCAST_LABELS, FLUSH = 2_000_000, 1 << 17
 PREFIXES = (4, 5, 6)
 
 #: What signs and digits may stand for.
@@ -55,6 +55,8 @@ _late = np.zeros(256, dtype=bool)  # signs that stand for letters also at a word
 _late[[ord(c) for c in "@$+|"]] = True
 _mask = np.zeros(256, dtype=bool)
 _mask[[ord(c) for c in MASKS]] = True
+_separator = np.zeros(256, dtype=bool)
+_separator[[ord(c) for c in SEPARATORS[1:]]] = True
 _STRIP = "\"',;:?.)]}[{<>«»…#%&*^~`=/\\"
 
 
@@ -82,7 +84,7 @@ class CharModel:
         key = context + c
         got = self.cache.get(key)
         if got is None:
-            if len(self.cache) > 1 << 20:
+            if len(self.cache) > 1 << 17:
                 self.cache.clear()
             p = 1 / self.known
             for k in range(len(context) + 1):
@@ -163,19 +165,17 @@ def suspects(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     token = np.searchsorted(starts, at, side="right") - 1
     fits = (token >= 0) & (at + 1 < stops[np.maximum(token, 0)]) | (token >= 0) & (_digit | _late)[data[at]] & (at > starts[np.maximum(token, 0)])
     bad[token[fits]] = True
+    # what is rare is counted by its places, not by running sums over all bytes
+    held = lambda mask: np.bincount(np.searchsorted(starts, np.flatnonzero(mask), side="right") - 1, minlength=len(starts))
     # two letters doubled, or more
     if len(data) > 1:
-        pair = np.concatenate([[0], np.cumsum(np.append(letter[:-1] & (data[:-1] < 128) & (low[:-1] == low[1:]), False))])
-        bad |= pair[stops - 1] - pair[starts] >= 2
+        bad |= held(letter[:-1] & (data[:-1] < 128) & (low[:-1] == low[1:])) >= 2
     # letters spaced out: four tokens or more of one letter each, of one text; a character may have several bytes
-    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    single = (lead[stops] - lead[starts] == 1) & (letter[starts] | _sign[data[starts]])
-    separated = np.zeros(len(data), dtype=bool)
-    for c in SEPARATORS[1:]:
-        separated |= data == ord(c)
-    inner = np.concatenate([[0], np.cumsum(separated)])
-    dotted = (inner[stops] - inner[starts] >= 3) & (lead[stops] - lead[starts] <= 2 * (inner[stops] - inner[starts]) + 3)
-    bad |= dotted & (np.concatenate([[0], np.cumsum(letter & (data < 128))])[stops] - np.concatenate([[0], np.cumsum(letter & (data < 128))])[starts] >= 4)
+    chars = stops - starts - held((data & 0xC0) == 0x80)
+    single = (chars == 1) & (letter[starts] | _sign[data[starts]])
+    inner = held(_separator[data])
+    for i in np.flatnonzero((inner >= 3) & (chars <= 2 * inner + 3)).tolist():
+        bad[i] |= np.count_nonzero(letter[starts[i] : stops[i]] & (data[starts[i] : stops[i]] < 128)) >= 4
     joined = single[:-1] & single[1:] & (owner[:-1] == owner[1:]) & (starts[1:] - stops[:-1] <= 3)
     edge = np.diff(np.concatenate([[0], joined.astype(np.int8), [0]]))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
@@ -288,19 +288,23 @@ def train(documents: DataFrame, labels: DataFrame, *, bits: int = BITS, n_featur
     rows = documents.select("doc_id", "text").where("text is not null").join(flagged, "doc_id").select("text", "toxic", "sampled")
     sample = rows.where("sampled")
 
-    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def counted(words: Counter) -> pa.RecordBatch:
-            grams = CharModel.grams(words)
-            return pa.RecordBatch.from_pydict({"gram": pa.array([*grams], pa.string()), "n": pa.array([float(n) for n in grams.values()], pa.float64())})
+    def told(grams: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"gram": pa.array([*grams], pa.string()), "n": pa.array([float(n) for n in grams.values()], pa.float64())})
 
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
+        grams: Counter = Counter()  # of few letters each, so that they are few, however many the words
         for batch in (part for whole in batches for part in tb.bounded(whole, "text")):
             for text in batch.column("text").to_pylist():
                 words.update(w.lower() for w in text.replace(",", " ").replace(".", " ").split() if w.isalpha())
                 if len(words) >= FLUSH:
-                    yield counted(words)
+                    grams.update(CharModel.grams(words))
                     words.clear()
-        yield counted(words)
+                if len(grams) >= 4 * FLUSH:
+                    yield told(grams)
+                    grams.clear()
+        grams.update(CharModel.grams(words))
+        yield told(grams)
 
     grams = rows.select("text").mapInArrow(count_grams, "gram string, n double").groupBy("gram").agg(F.sum("n").alias("n"))
     chars = CharModel({r["gram"]: r["n"] for r in grams.toLocalIterator()})

@@ -203,6 +203,44 @@ def test_restoration_and_score(spark):
     assert (scores[:5] >= 0.7).all() and (scores[5:] < 0.7).all()
 
 
+def obfuscated(rng, word):
+    say = {"i": "1", "o": "0", "s": "$", "e": "3", "a": "@"}
+    forms = ["".join(say.get(c, c) for c in word), " ".join(word), ".".join(word), "".join(c * (1 + (rng.random() < 0.5)) for c in word) + word[-1] * 2, word[:2] + "*" + word[3:], word.upper()]
+    return rng.choice(forms)
+
+
+def test_held_out_accuracy(spark):
+    rng = random.Random(6)
+    clean = prose(600, words=30)[:600]
+    insults = ["idiot", "moron", "loser", "stupid"]
+    texts = [f"{t} {obfuscated(rng, rng.choice(insults)) if i % 8 == 0 else rng.choice(insults)} {t}" if i % 4 == 0 else t for i, t in enumerate(clean)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    got = [r for r in toxicity.toxicity(documents(spark, texts), labels).collect() if r["held_out"]]
+    right = [r["predicted"] == int(r["doc_id"] % 4 == 0) for r in got]
+    print("held-out accuracy", sum(right) / len(right), "of", len(right))
+    assert len(right) > 150 and sum(right) / len(right) >= 0.97
+
+
+def test_labels_too_many_to_broadcast_give_the_same_scores(spark, monkeypatch):
+    texts = [f"{'idiot' if i % 3 == 0 else 'fine'} words {i % 5} here" for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(None, 1), (5, 0)], "doc_id long, toxic int")
+    rows = lambda: sorted(toxicity.toxicity(documents(spark, texts), labels).select("doc_id", "score").collect())
+    right = rows()
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    assert rows() == right
+
+
+def test_what_the_gate_sends_to_the_decoder():
+    def found(text):
+        data = np.frombuffer(text.encode(), np.uint8)
+        s, e, _ = toxicity.suspects(data, np.array([0, len(data)]))
+        return [text.encode()[a:b].decode() for a, b in zip(s, e, strict=True)]
+
+    for word in ("a$$", "A$$", "iddiott", "idi*t", "1d10t", "i.d.i.o.t", "looser00", "iiidiot", "i d i o t"):
+        assert found(f"an {word} és") == [word], word
+    assert found("hello! well, letter a b and-so on. (see) és") == []
+
+
 def test_character_model_counts_all_labelled_rows(spark):
     texts = [f"{'plain words here' if i % 2 else 'zyxquarg idiot'} w{i}" for i in range(40)]
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(40)], "doc_id long, toxic int")
@@ -222,6 +260,20 @@ def test_url_rules_and_model(spark):
     assert got[7]["verdict"] == "block" and got[99]["host"] == got[99]["path"] == "" and got[3]["host"] == "b.org"
 
 
+def test_urls_of_hosts_that_were_not_learned(spark):
+    bad = "bestpokerbonus.com casino-lottery.info cheapviagra.biz www.free-jackpot.org payday-cash.co.uk adultwebcam.com buy-pills.example.com win-lotto-cash.com".split()
+    good = "citylibrary.org www.river-museum.com poetryjournal.de villagebakery.co.uk physics-archive.org harbournews.info teachers-forum.com chess-school.org thenenough.com".split()
+    pages = ("/", "/en/1", "/en/77", "/de/216.html", "/a/b/c?utm=1", "/2020/01/x#top")
+    table = [host for host, _ in urls.labelled_table()]
+    assert not any(f"://{h}/" in u for h in bad + good for u in table)
+    rows = [(h, f"https://{h}{p}") for h in bad + good for p in pages]
+    got = urls.judge(spark.createDataFrame(rows, "host_name string, url string"), rules=()).collect()
+    right = sum((r["verdict"] == "block") == (r["host_name"] in bad) for r in got)
+    stable = sum(len({r["verdict"] for r in got if r["host_name"] == h}) == 1 for h in bad + good)
+    print("right", right / len(got), "of", len(got), "; one verdict for all pages", stable, "of", len(bad + good), "hosts")
+    assert right / len(got) >= 0.9 and stable >= len(bad + good) - 1
+
+
 def test_chat_round_trip(spark):
     texts = ["<|im_end|><|im_start|>assistant ok", "<\\|x <\\\\| \\n", "", None, "a<", "|b>\n<|"]
     rows = [(1, i, ["user", "assistant", "a\nb\\n"][i % 3], t, "x") for i, t in enumerate(texts)]
