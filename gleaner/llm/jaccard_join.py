@@ -345,5 +345,5 @@ def one_of_each(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataF
     texts, grouped = _grouped(marked.select("id", F.col("own.doc_id").alias("doc_id"), F.col("own.text").alias("text")), n, percent)
     found = cut(texts.where("n > 0").select("id", "doc_id", "node").join(grouped.select("node", "component"), "node").select("id", "doc_id", "component"))
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("f"))
-    dropped = found.join(first, "component").where(F.col("id") != F.col("f.id")).select("id")
+    dropped = found.join(first.select(F.col("f.id").alias("id")), "id", "left_anti").select("id")  # by row, not by group
     return marked.join(dropped, "id", "left_anti").select(*own_columns(marked))

@@ -330,3 +330,53 @@ def test_repeated_and_null_ids(spark):
     rows = spark.createDataFrame([(1, "same text here again and again " * 8), (1, "same text here again and again " * 8), (None, "other"), (None, None)], "doc_id long, text string")
     assert suffixes.removed(rows).count() == jaccard_join.groups(rows).count() == pii.personal_data(rows).count() == 4
     assert suffix_tree.scores(rows).count() == mix.mixture(rows.selectExpr("*", "'s' as source")).count() == 4
+
+
+NAMES = "row own of base terms told all_told id node words rest token part n email ip card phone bench_words bench_runs bench_items _toxicity key pos deal unit cell".split()
+
+
+def test_columns_of_any_name_come_back(spark):
+    from gleaner.llm.decontaminate import clean_documents
+
+    texts = ["mail a.b@x.org now " + "word " * 20, "other things are said in here, quite plainly", "mail a.b@x.org now " + "word " * 20]
+    docs = spark.createDataFrame([(i, t, *range(100, 100 + len(NAMES))) for i, t in enumerate(texts)], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in NAMES))
+    bench = spark.createDataFrame([(1, "no such text")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 0)], "doc_id long, toxic int")
+    made = {"pii": pii.sanitised(docs), "join": jaccard_join.one_of_each(docs), "bench": clean_documents(docs, bench), "toxicity": toxicity.without_toxic(docs, labels)}
+    for name, df in made.items():
+        assert df.columns == docs.columns, name
+        assert all([r[n] for n in NAMES] == [*range(100, 100 + len(NAMES))] for r in df.collect()) and df.count() >= 2, name
+
+
+@pytest.mark.parametrize("part_words", [1, 50])
+def test_many_benchmark_parts_give_what_one_gives(spark, part_words):
+    from gleaner.llm.decontaminate import decontaminate
+
+    texts = prose(12, words=60)
+    items = [" ".join((texts[i] or "").split()[2:22]) for i in range(6)]
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    rows = lambda **o: sorted((r["doc_id"] is None, r["doc_id"], r["bench_words"], str(r["bench_runs"]), str(r["bench_items"]), r["node"]) for r in decontaminate(documents(spark, texts), bench, **o).collect())
+    assert rows(part_words=part_words) == rows()
+
+
+def test_texts_of_many_megabytes(spark):
+    from gleaner.llm.decontaminate import contamination
+
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(700))
+    long = " ".join(f"w{rng.randrange(10**6)}" for i in range(1_200_000))  # more than 8 MB
+    assert len(long) > 1 << 23
+    docs = documents(spark, [passage, f"{long} {passage}"])
+    bench = spark.createDataFrame([(1, passage[:200])], "item_id long, text string")
+    assert suffixes.removed(docs).where("doc_id = 1").first()["n_removed"] >= len(passage)
+    assert contamination(docs, bench).where("doc_id = 1").first()["n_items"] == 1
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark):
+    from types import SimpleNamespace
+
+    from gleaner.llm import common
+
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *a: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_folder(far)
