@@ -1,16 +1,20 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of no, one or two words. A context, or a next word of a context, has a place of its own in the tree
-where its share of the training tokens is at least ``gram_share`` (so each level has at most ``1 / gram_share``
-entries: the bound of what is broadcast), and a context is kept only if the divergence of its next words from those of
-the context without its first word, times its count, outweighs the entries it costs (half the logarithm of the tokens
-each). A state's distribution gives its entries their counts and shares what is left, and ``SMOOTHING`` more, by the
-distribution of the next shorter state; at the root stands the smoothed count of single words. The longest kept suffix
-of what was read is the state that predicts the next word. Before the first word of a text stands the end mark.
-
-Words whose share is under ``word_share`` are not broadcast: they can have no entry in any context, so a text's score
-is what the contexts say plus the sum of the root's logarithms, which are joined from the table of all words' counts.
-Every count covers all training texts, and no word is left out.
+States are contexts of no, one or more words; the root is the smoothed count of single words. Level by level, the
+contexts one word longer than a kept one are looked at. What follows a context at least ``LEAST`` times there is an
+entry of it, and the context is kept if the divergence of its entries from the distribution of the next shorter state,
+times their counts, outweighs what they cost (half the logarithm of the training tokens each). The tree ends where the
+test keeps no context any more: its depth is the corpus's, not a parameter. A kept state gives its entries their counts
+and shares what is left, and ``SMOOTHING`` more, by the next shorter state. The longest kept suffix of what was read
+predicts the next word. Before the first word of a text stands the end mark.
+
+The support is an absolute count, so words, contexts and entries grow with the corpus. They are a table keyed by the
+hash of their words. In a text's score each occurrence of a string of words adds a number of its own: the root's
+logarithm for a word; for an entry what its state changes; for a context what it leaves to others. So a text's score is a
+sum over a join with that table. Strings with a share of the training tokens of ``SHARE`` or more (at most ``1 / SHARE``
+of each length) are broadcast, as is a filter of bounded size that spares most useless rows; neither changes a result.
+
+Strings are known by 64-bit hashes: a word's hash, and for more words the rotated hash of all but the last, xor the last.
 
 Defined cases: null texts are empty, that is, only the end mark; rows without a doc_id belong to the held-out part;
 repeated rows count and are scored as often as they stand; without training rows N and V are 0, and every token has
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import cut
+from .common import cut, discard
 
-WORD_SHARE, GRAM_SHARE, ADDED, SMOOTHING = 2.0**-22, 2.0**-20, 0.1, 2.0
+SHARE, LEAST, ADDED, SMOOTHING = 2.0**-21, 2, 0.1, 2.0
 END = np.uint64(0x452821E638D01377)
-FLUSH = 1 << 22
+FLUSH, FILTER_BITS, TURN = 1 << 22, 28, 23
 
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -41,31 +46,85 @@ def tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, np.insert(words, at[1:], END), at + np.arange(n + 1)
 
 
-def counted(batches: Iterator[pa.RecordBatch], grams: Callable[[pa.Array], Iterator[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, n): how often each value of ``grams`` stands in these batches, summed before it leaves the task."""
-    held: list[np.ndarray] = []
-    size, known = 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        k, place = np.unique(np.concatenate([known[0], k]), return_inverse=True)
-        return k, np.bincount(place, np.concatenate([known[1], n]), len(k)).astype(np.int64)
-
-    for batch in batches:
-        for g in grams(batch.column(0)):
-            held.append(g)
-            size += len(g)
+def longer(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return ((context << np.uint64(TURN)) | (context >> np.uint64(64 - TURN))) ^ word
+
+
+def context_of(string: str, word: str) -> Column:
+    """The hash of a string without its last word, from both their hashes."""
+    x = F.col(string).bitwiseXOR(F.col(word))
+    return F.shiftrightunsigned(x, TURN).bitwiseOR(F.shiftleft(x, 64 - TURN))
+
+
+def strings(h: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For two words, three, and so on: the places where such a string ends, its hash, and those of it without its last
+    and without its first word."""
+    before = np.empty_like(h)
+    before[1:] = h[:-1]
+    before[at[:-1]] = END
+    first = np.zeros(len(h), dtype=bool)
+    first[at[:-1]] = True
+    places, context, shorter = np.arange(len(h)), before, h
+    while len(places):
+        whole = longer(context, h[places])
+        yield places, whole, context, shorter[places]
+        shorter = np.zeros_like(h)
+        shorter[places] = whole
+        following = places + 1
+        following = following[following < len(h)]
+        places = following[~first[following]]
+        context = shorter[places - 1]
+
+
+class Filter:
+    """Which hashes may be in a set: all that are, and some that are not."""
+
+    def __init__(self, table: DataFrame) -> None:
+        bits = min(FILTER_BITS, max(16, math.ceil(math.log2(8 * table.count() + 1))))
+        place = F.col("k").bitwiseAND((1 << bits) - 1)
+        rows = table.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("m")).toArrow()
+        self.mask, self.words = np.int64((1 << bits) - 1), np.zeros(1 << (bits - 6), np.int64)
+        self.words[rows.column("i").to_numpy()] = rows.column("m").to_numpy()
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        k = keys.view(np.int64)
+        return (self.words[(k & self.mask) >> 6] >> (k & 63)) & 1 == 1
+
+
+def summed(k: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(k, kind="stable")
+    k, s, n = k[order], s[order], n[order]
+    begins = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return k[begins], s[begins], np.add.reduceat(n, begins) if len(k) else n
+
+
+def counted(batches: Iterator[pa.RecordBatch], seen: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """Rows (k, s, n): how often each pair of ``seen`` stands in these batches, summed before it leaves the task. ``s``
+    belongs to ``k``; rows leave by ``s``, which then takes next to no room in a shuffle."""
+    nothing = (np.zeros(0, np.int64),) * 3
+    known, held, size = nothing, [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        new = [(k, s, np.ones(len(k), np.int64)) for k, s in held]
+        return summed(*(np.concatenate(x) for x in zip(known, *new, strict=True)))
+
+    for batch in (part for whole in batches for part in tb.bounded(whole, "text")):
+        for k, s in seen(batch.column("text")):
+            held.append((k.view(np.int64), s.view(np.int64)))
+            size += len(k)
             if size >= FLUSH:
                 known, held, size = merged(), [], 0
                 if len(known[0]) >= FLUSH:
                     yield from _rows(*known)
-                    known = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+                    known = nothing
     yield from _rows(*merged())
 
 
-def _rows(k: np.ndarray, n: np.ndarray, step: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+def _rows(k: np.ndarray, s: np.ndarray, n: np.ndarray, step: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(s, kind="stable")
     for i in range(0, len(k), step):
-        yield pa.RecordBatch.from_pydict({"k": k[i : i + step], "n": n[i : i + step]})
+        part = order[i : i + step]
+        yield pa.RecordBatch.from_pydict({"k": k[part], "s": s[part], "n": n[part]})
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -76,179 +135,165 @@ def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1)
 
 
+@dataclass
 class Tree:
-    """Frequent words by hash; at levels 1 and 2 contexts (key, count, rest) and entries (context's place * words +
-    word, count). A context of level 1 is a word's place; of level 2, an entry of level 1."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, distinct: int) -> None:
-        order = np.argsort(words)
-        self.words, self.counts, self.total, self.distinct = words[order], counts[order], total, distinct
-        self.divisor = total + ADDED * (distinct + 1)
-        self.root = (self.counts + ADDED) / self.divisor
-        self.end = int(find(self.words, np.array([END]))[0])
-        self.entries: list[tuple[np.ndarray, np.ndarray]] = []  # (key, count), sorted by key
-        self.kept: list[np.ndarray] = []  # for each context of the level, its place among the level's states or -1
-        self.states: list[tuple[np.ndarray, np.ndarray]] = []  # (count, rest)
-
-    def read(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word before, word) as places or -1 for each token of a slice."""
-        w = find(self.words, h)
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        v[at[:-1]] = self.end
-        return v, w
-
-    def pairs(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Entries of level 1 at each token, or -1."""
-        keys = np.where((v >= 0) & (w >= 0), v * len(self.words) + w, -1)
-        return find(self.entries[0][0], keys)
-
-    def before(self, entry: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """At each token, the entry of level 1 that its two last words are."""
-        out = np.empty_like(entry)
-        out[1:] = entry[:-1]
-        out[at[:-1]] = -1
-        return out
-
-    def grow(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Adds the next level from its counted entries, keeping contexts by the divergence test."""
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        n, level = len(self.words), len(self.entries)
-        context, word = keys // max(n, 1), keys % max(n, 1)
-        of = self.counts if level == 0 else self.entries[0][1]  # the contexts' counts
-        shorter = self.root[word] if level == 0 else self.probability(self.entries[0][0][context] % n, word)
-        given = counts / np.maximum(of[context], 1)
-        gain = np.bincount(context, counts * np.log(given / shorter), len(of))
-        cost = np.bincount(context, minlength=len(of)) * 0.5 * math.log(max(self.total, 2))
-        keep = (gain > cost) & (cost > 0)
-        rest = of - np.bincount(context, counts, len(of))
-        place = np.where(keep, np.cumsum(keep) - 1, -1)
-        self.entries.append((keys, counts))
-        self.kept.append(place)
-        self.states.append((of[keep].astype(float), rest[keep].astype(float)))
-
-    def step(self, level: int, context: np.ndarray, w: np.ndarray, entry: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """The probabilities after states of this level, from those after the shorter ones. ``context``: places or -1;
-        ``entry``: places among the level's entries or -1."""
-        if not len(self.kept[level]):
-            return shorter
-        state = np.where(context >= 0, self.kept[level][context], -1)
-        on = state >= 0
-        count, rest = (x[state[on]] for x in self.states[level])
-        n = self.entries[level][1]
-        own = np.where(entry[on] >= 0, n[entry[on]], 0) if len(n) else 0.0
-        out = shorter.copy()
-        out[on] = (own + (rest + SMOOTHING) * shorter[on]) / (count + SMOOTHING)
-        return out
-
-    def probability(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        return self.step(0, v, w, self.pairs(v, w), self.root[w])
-
-    def score(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each token of a slice: log10 at the root and in the tree, rare words counting as certain at the root,
-        and whether it is rare."""
-        v, w = self.read(h, at)
-        rare = w < 0
-        root = np.where(rare, 1.0, self.root[w]) if len(self.root) else np.ones(len(w))
-        entry = self.pairs(v, w) if self.entries else np.full(len(w), -1)
-        p = self.step(0, v, w, entry, root) if self.entries else root
-        if len(self.entries) > 1:
-            two = self.before(entry, at)
-            keys = np.where((two >= 0) & ~rare, two * len(self.words) + w, -1)
-            p = self.step(1, two, w, find(self.entries[1][0], keys), p)
-        return np.log10(root), np.log10(p), rare
-
-
-def train(documents: DataFrame, *, word_share: float = WORD_SHARE, gram_share: float = GRAM_SHARE) -> tuple[Tree, DataFrame]:
-    """The tree of all texts of ``documents``, and the table (k: a word's hash, n) of all words' counts."""
+    """``table``: (k, n, base, value, known) of words and strings; what tasks get of it is in ``shared``."""
+
+    table: DataFrame
+    total: int
+    distinct: int
+    depth: int
+    shared: tuple
+
+    @property
+    def divisor(self) -> float:
+        return self.total + ADDED * (self.distinct + 1)
+
+
+def train(documents: DataFrame, *, share: float = SHARE, least: int = LEAST) -> Tree:
+    """The tree of all texts of ``documents``."""
     spark, texts = documents.sparkSession, documents.select("text")
 
-    def words(column: pa.Array) -> Iterator[np.ndarray]:
+    def count(seen: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+        rows = texts.mapInArrow(lambda b: counted(b, seen), "k long, s long, n long")
+        return rows.groupBy("k").agg(F.sum("n").alias("n"), F.min("s").alias("s"))
+
+    def words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, h, _ in tokens(column):
-            yield h.view(np.int64)
+            yield h, h
 
-    vocabulary = cut(texts.mapInArrow(lambda b: counted(b, words), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")))
+    vocabulary = cut(count(words).select("k", "n"))
     got = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total, distinct = got[0] or 0, got[1]
-
-    def frequent(counts: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-        rows = counts.where(F.col("n") >= max(2, share * total)).toArrow()
-        return tuple(rows.column(c).to_numpy().copy() for c in ("k", "n"))
-
-    k, n = frequent(vocabulary.where((F.col("n") >= 2) | (F.col("k") == int(END.view(np.int64)))), word_share)
-    tree = Tree(k.view(np.uint64), n, total, distinct)
-    for level in range(2):
-        least = max(2, gram_share * total)
-        shared = spark.sparkContext.broadcast(tree)
-
-        def grams(column: pa.Array, level=level, shared=shared, least=least) -> Iterator[np.ndarray]:
-            tree = shared.value
+    root = (F.col("n") + ADDED) / F.lit(total + ADDED * (distinct + 1))
+    nothing = F.lit(0.0)
+    parts = [vocabulary.select("k", "n", F.log10(root).alias("base"), nothing.alias("value"), F.lit(1).alias("known"))]
+    entries = vocabulary.where(F.col("n") >= least).select("k", F.col("k").alias("w"), "n", root.alias("p"))
+    contexts, level = entries.select("k", "n"), 0
+    while True:
+        level += 1
+        entry, start = Filter(entries.select("k")), Filter(contexts.select("k"))
+        shared = spark.sparkContext.broadcast((entry, start))
+
+        def seen(column: pa.Array, level=level, shared=shared) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            entry, start = shared.value
             for _, h, at in tokens(column):
-                v, w = tree.read(h, at)
-                if level:
-                    v = tree.before(tree.pairs(v, w), at)
-                    if len(tree.entries[0][1]):
-                        v = np.where(v >= 0, v, -1)
-                on = (v >= 0) & (w >= 0)
-                on[on] &= tree.counts[w[on]] >= least
-                if not level:
-                    on[on] &= tree.counts[v[on]] >= least
-                yield v[on] * len(tree.words) + w[on]
-
-        counts = texts.mapInArrow(lambda b, grams=grams: counted(b, grams), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
-        tree.grow(*frequent(counts, gram_share))
-    return tree, vocabulary
-
-
-def score(documents: DataFrame, tree: Tree, vocabulary: DataFrame) -> DataFrame:
+                older = None
+                for length, (places, whole, context, shorter) in enumerate(strings(h, at), 1):
+                    if length < level:
+                        older = np.zeros_like(h)
+                        older[places] = context
+                        continue
+                    if level < 3:  # the contexts were counted as strings
+                        on = entry(shorter) & start(context)
+                        yield whole[on], shorter[on]
+                    else:
+                        on = entry(shorter)
+                        yield whole[on], shorter[on]
+                        on = start(older[places])  # the context without its first word
+                        yield context[on], np.zeros(int(on.sum()), np.uint64)
+                    break
+
+        found = cut(count(seen).where(F.col("n") >= least))
+        if level > 2:
+            contexts = found.where("s = 0").select("k", "n")
+        strings_here = found.where("s <> 0") if level > 2 else found
+        of = contexts.select(F.col("k").alias("c"), F.col("n").alias("of"))
+        under = entries.select(F.col("k").alias("s"), "w", F.col("p").alias("under"))
+        rows = cut(strings_here.join(under, "s").select("k", "n", "w", "under", context_of("k", "w").alias("c")).join(of, "c"))
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("under")))
+        tests = rows.groupBy("c").agg(gain.alias("gain"), F.count("*").alias("m"), F.sum("n").alias("inside"), F.first("of").alias("count"))
+        cost = F.col("m") * (0.5 * math.log(max(total, 2)))
+        rest = F.col("count") - F.col("inside") + SMOOTHING
+        kept = cut(tests.where(F.col("gain") > cost).select("c", "count", (rest / (F.col("count") + SMOOTHING)).alias("left")))
+        own = F.col("n") / (F.col("count") + SMOOTHING) + F.col("left") * F.col("under")
+        after = cut(rows.join(kept, "c").select("k", "w", "n", "c", own.alias("p"), F.log10(own / F.col("under") / F.col("left")).alias("value")))
+        discard(rows)
+        if after.isEmpty():
+            break
+        parts.append(after.select("k", "n", nothing.alias("base"), "value", F.lit(0).alias("known")))
+        parts.append(kept.select(F.col("c").alias("k"), F.col("count").alias("n"), nothing.alias("base"), F.log10("left").alias("value"), F.lit(0).alias("known")))
+        contexts = found.select("k", "n") if level == 1 else kept.select(F.col("c").alias("k"))
+        entries = after.select("k", "w", "n", "p")
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    table = cut(union.groupBy("k").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("value").alias("value"), F.max("known").alias("known")))
+    top = table.where(F.col("n") >= max(2.0, share * total)).select("k", "base", "value").toArrow()
+    k, base, value = (top.column(c).to_numpy() for c in ("k", "base", "value"))
+    order = np.argsort(k.view(np.uint64))
+    return Tree(table, total, distinct, level, (k[order].view(np.uint64), base[order], value[order], Filter(table.where("known = 0").select("k")), level))
+
+
+def score(documents: DataFrame, tree: Tree) -> DataFrame:
     """``doc_id`` of each row with n_tokens, n_known, base_score and score."""
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
+    shared = documents.sparkSession.sparkContext.broadcast(tree.shared)
+    kind = dict(documents.dtypes)["doc_id"]
+    schema = f"row long, k long, m long, single boolean, doc_id {kind}, n_tokens long, n_known long, base double, own double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in tb.bounded(whole, "text")):
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for _, h, at in tokens(batch.column("text")):
-                base, own, rare = shared.value.score(h, at)
-                n = np.diff(at)
-                owner = np.repeat(np.arange(len(n)), n)[rare]
-                k = h[rare].view(np.int64)
-                order = np.lexsort((k, owner))
-                k, of = k[order], owner[order]
+        keys, bases, values, maybe, depth = shared.value
+        for batch in (part for whole in batches for part in tb.bounded(whole, "text", limit=1 << 21)):
+            for first, h, at in tokens(batch.column("text")):
+                size = np.diff(at)
+                owner = np.repeat(np.arange(len(size)), size)
+                place = find(keys, h)
+                on = place >= 0
+                base = np.zeros(len(size)) + np.bincount(owner[on], bases[place[on]], len(size))
+                own = base + np.bincount(owner[on], values[place[on]], len(size))
+                known = np.bincount(owner[on], minlength=len(size))
+                asked = [(owner[~on], h[~on], np.ones(int((~on).sum()), bool))]
+                for length, (places, whole, _, _) in enumerate(strings(h, at), 1):
+                    if length >= depth:  # at the last level nothing was kept
+                        break
+                    may = maybe(whole)
+                    of, whole = owner[places[may]], whole[may]
+                    place = find(keys, whole)
+                    on = place >= 0
+                    own += np.bincount(of[on], values[place[on]], len(size))
+                    asked.append((of[~on], whole[~on], np.zeros(int((~on).sum()), bool)))
+                of, k, single = (np.concatenate(x) for x in zip(*asked, strict=True))
+                order = np.lexsort((k, of))
+                of, k, single = of[order], k[order], single[order]
                 begins = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (of[1:] != of[:-1])])[: len(k)])
                 m = np.diff(np.append(begins, len(k)))
-                sizes = np.bincount(of[begins], minlength=len(n))
-                known = n - np.bincount(owner, minlength=len(n))
-                for part, x in zip(out, (n, known, np.add.reduceat(base, at[:-1]), np.add.reduceat(own, at[:-1]), sizes, np.stack([k[begins], m])), strict=True):
-                    part.append(x)
-            n, known, base, own, sizes = (np.concatenate(x) for x in out[:5])
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            k, m = np.concatenate(out[5], axis=1)
-            entries = pa.StructArray.from_arrays([pa.array(k, pa.int64()), pa.array(m, pa.int64())], names=["k", "m"])
-            new = {"n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "base": pa.array(base), "own": pa.array(own), "rare": pa.ListArray.from_arrays(pa.array(ends), entries)}
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *new.values()], names=["row", "doc_id", *new])
-
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    kind = dict(documents.dtypes)["doc_id"]
-    local = cut(rows.mapInArrow(run, f"row long, doc_id {kind}, n_tokens long, n_known long, base double, own double, rare array<struct<k:long,m:long>>"))
-    at_root = F.log10((F.coalesce("n", F.lit(0)) + ADDED) / F.lit(tree.divisor or 1.0)) if tree.total else F.lit(0.0)
-    looked_up = local.select("row", F.explode("rare").alias("r")).select("row", "r.k", "r.m").join(vocabulary, "k", "left")
-    rest = looked_up.groupBy("row").agg(F.sum(F.col("m") * at_root).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more"))
-    rest = rest.withColumnRenamed("row", "of")
-    return local.drop("rare").join(rest, F.col("row") == F.col("of"), "left").select(
-        "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
-        (F.col("base") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("own") + F.coalesce("rest", F.lit(0.0))).alias("score"),
-    )
+                part = batch.slice(first, len(size))
+                rows = np.asarray(part.column("row"))
+                count = len(begins)
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "row": rows[of[begins]], "k": k[begins].view(np.int64), "m": m, "single": single[begins], "doc_id": pa.nulls(count, part.column("doc_id").type),
+                        "n_tokens": pa.nulls(count, pa.int64()), "n_known": pa.nulls(count, pa.int64()), "base": pa.nulls(count, pa.float64()), "own": pa.nulls(count, pa.float64()),
+                    }
+                )
+                yield pa.RecordBatch.from_pydict(  # the texts themselves: a key each, asked for no times
+                    {
+                        "row": rows, "k": tb.mixed(rows.view(np.uint64) + np.uint64(1)).view(np.int64), "m": np.zeros(len(rows), np.int64), "single": np.zeros(len(rows), bool),
+                        "doc_id": part.column("doc_id"), "n_tokens": size, "n_known": known, "base": base, "own": own,
+                    }
+                )
+
+    asked = documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(run, schema)
+    table = tree.table.select("k", F.col("base").alias("at_root"), "value", "known")
+    unseen = F.log10(F.lit(ADDED / tree.divisor)) if tree.total else F.lit(0.0)
+    root = F.when(F.col("single"), F.coalesce("at_root", unseen)).otherwise(0.0)
+    sums = asked.join(table, "k", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"),
+        (F.max("n_known") + F.sum(F.when(F.col("single") & (F.col("known") == 1), F.col("m")).otherwise(0))).alias("n_known"),
+        F.sum(F.coalesce("base", F.lit(0.0)) + F.col("m") * root).alias("base_score"),
+        F.sum(F.coalesce("own", F.lit(0.0)) + F.col("m") * (root + F.coalesce("value", F.lit(0.0)))).alias("score"),
+    )
+    return sums.select("doc_id", "n_tokens", "n_known", "base_score", "score")
 
 
 def held_out(doc_id: Column, folds: int = 10) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds, F.lit(0)) == 0
 
 
-def scores(documents: DataFrame) -> DataFrame:
+def scores(documents: DataFrame, *, share: float = SHARE) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = documents.select("doc_id", "text")
-    tree, vocabulary = train(docs.where(~held_out(F.col("doc_id"))))
-    return score(docs, tree, vocabulary).select(
+    tree = train(docs.where(~held_out(F.col("doc_id"))), share=share)
+    return score(docs, tree).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score"
     )

@@ -1,9 +1,11 @@
 """Each operator against a brute-force version, and on nulls, ties, repeated rows, empty tables and further columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -178,16 +180,58 @@ def test_contamination_by_brute_force(spark):
         assert (got[i]["n_words"], got[i]["n_hit"], got[i]["items_sha256"]) == (len(w), len(hit), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest())
 
 
-def test_suffix_tree_scores(spark):
-    texts = [f"the cat sat on the mat and the dog number {i % 5}" for i in range(80)] + prose(10)
-    got = {r["doc_id"]: r for r in suffix_tree.scores(documents(spark, texts)).collect()}
+def _tree_by_brute_force(tokens):
+    """The log10 probability that a tree of these texts (lists that end with 0) gives a text, and the tree's depth."""
+    total, words = sum(map(len, tokens)), Counter(w for t in tokens for w in t)
+    root = lambda w: (words[w] + 0.1) / (total + 0.1 * (len(words) + 1))
+    states, kept, level = {}, {()}, 0
+
+    def p(context, w):
+        if not context:
+            return root(w)
+        if context not in states:
+            return p(context[1:], w)
+        of, entries = states[context]
+        return (entries.get(w, 0) + (of - sum(entries.values()) + 2) * p(context[1:], w)) / (of + 2)
+
+    while kept:
+        level += 1
+        following = defaultdict(Counter)
+        for t in ([0, *t] for t in tokens):
+            for i in range(level, len(t)):
+                following[tuple(t[i - level : i])][t[i]] += 1
+        new = set()
+        for c, ws in following.items():
+            entries, of = {w: n for w, n in ws.items() if n >= 2}, sum(ws.values())
+            gain = sum(n * math.log(n / of / p(c[1:], w)) for w, n in entries.items()) if c[1:] in kept else 0
+            if gain > len(entries) * 0.5 * math.log(total):
+                new.add(c)
+                states[c] = (of, entries)
+        kept = new
+
+    def score(t):
+        return sum(math.log10(p(max((c for c in (tuple([0, *t][j : i + 1]) for j in range(max(0, i + 1 - level), i + 1)) if c in states), key=len, default=()), w)) for i, w in enumerate(t))
+
+    return score, level - 1
+
+
+@pytest.mark.parametrize("share", [suffix_tree.SHARE, 1.0])
+def test_suffix_tree_by_brute_force(spark, share):
+    tail = [f"{a} {b} so it goes on to {c}" for a, b, c in (("one", "day", "home"), ("one", "night", "work"), ("two", "day", "rest"), ("two", "night", "play")) for _ in range(40)]
+    deep = ["u u u u z"] * 300  # each further u tells more about when z comes
+    texts = [f"the cat sat on the mat and the dog number {i % 5}" for i in range(40)] + prose(10) + tail + deep
+    got = {r["doc_id"]: r for r in suffix_tree.scores(documents(spark, texts), share=share).collect()}
     tokens = [[*(t or "").encode().lower().split(), 0] for t in texts]
-    train = [w for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 10 for w in t]
-    n, v = len(train), len(set(train))
+    train = [t for i, t in enumerate(tokens) if zlib.crc32(str(i).encode()) % 10]
+    words = Counter(w for t in train for w in t)
+    n, v = sum(words.values()), len(words)
+    score, depth = _tree_by_brute_force(train)
+    assert depth >= 3
     for i, t in enumerate(tokens):
-        assert got[i]["base_score"] == pytest.approx(sum(np.log10((train.count(w) + 0.1) / (n + 0.1 * (v + 1))) for w in t))
-        assert got[i]["n_known"] == sum(w in train for w in t) and got[i]["train_tokens"] == n
-    held = [r for r in got.values() if r["held_out"] and r["doc_id"] < 80]
+        assert got[i]["base_score"] == pytest.approx(sum(np.log10((words[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t))
+        assert got[i]["n_tokens"] == len(t) and got[i]["n_known"] == sum(w in words for w in t) and got[i]["train_tokens"] == n
+        assert got[i]["score"] == pytest.approx(score(t))
+    held = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
