@@ -1,8 +1,9 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-States are contexts of no, one or more words; the root is the smoothed count of single words. Level by level, the
-contexts one word longer than a kept one are looked at. What follows a context at least ``LEAST`` times there is an
-entry of it, and the context is kept if the divergence of its entries from the distribution of the next shorter state,
+States are contexts of no, one or more words; the root is the smoothed count of single words. Level by level, strings
+one word longer are looked at: those that stand ``LEAST`` times or more, whose part without the last word was looked at
+before, and whose part without the first is an entry of a kept context. What follows a context in such strings are its
+entries, and the context is kept if the divergence of its entries from the distribution of the next shorter state,
 times their counts, outweighs what they cost (half the logarithm of the training tokens each). The tree ends where the
 test keeps no context any more: its depth is the corpus's, not a parameter. A kept state gives its entries their counts
 and shares what is left, and ``SMOOTHING`` more, by the next shorter state. The longest kept suffix of what was read
@@ -29,15 +30,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import cut, discard
+from .common import cut, discard, partitions
 
 SHARE, LEAST, ADDED, SMOOTHING = 2.0**-21, 2, 0.1, 2.0
 END = np.uint64(0x452821E638D01377)
-FLUSH, FILTER_BITS, TURN = 1 << 22, 28, 23
+FLUSH, BUCKET, FILTER_BITS, TURN = 1 << 22, 1 << 23, 28, 23
 
 
 def tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -98,9 +100,9 @@ def summed(k: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.
     return k[begins], s[begins], np.add.reduceat(n, begins) if len(k) else n
 
 
-def counted(batches: Iterator[pa.RecordBatch], seen: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
-    """Rows (k, s, n): how often each pair of ``seen`` stands in these batches, summed before it leaves the task. ``s``
-    belongs to ``k``; rows leave by ``s``, which then takes next to no room in a shuffle."""
+def counted(batches: Iterator[pa.RecordBatch], seen: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """How often each pair (k, s) of ``seen`` stands in these batches, summed before it leaves the task: rows of a bucket
+    of ``k`` and the packed pairs and counts in it. ``s`` belongs to ``k``, and by its order takes next to no room."""
     nothing = (np.zeros(0, np.int64),) * 3
     known, held, size = nothing, [], 0
 
@@ -115,16 +117,30 @@ def counted(batches: Iterator[pa.RecordBatch], seen: Callable[[pa.Array], Iterat
             if size >= FLUSH:
                 known, held, size = merged(), [], 0
                 if len(known[0]) >= FLUSH:
-                    yield from _rows(*known)
+                    yield from _packed(*known, buckets)
                     known = nothing
-    yield from _rows(*merged())
+    yield from _packed(*merged(), buckets)
 
 
-def _rows(k: np.ndarray, s: np.ndarray, n: np.ndarray, step: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+def _packed(k: np.ndarray, s: np.ndarray, n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    bucket = (k.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(s, kind="stable")
-    for i in range(0, len(k), step):
-        part = order[i : i + step]
-        yield pa.RecordBatch.from_pydict({"k": k[part], "s": s[part], "n": n[part]})
+    order = order[np.argsort(bucket[order], kind="stable")]
+    used, begins = np.unique(bucket[order], return_index=True)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for p, part in zip(used.tolist(), np.split(order, begins[1:]) if len(order) else [], strict=True):
+        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int64()), pa.array([squeeze(np.stack([k[part], s[part], n[part]]).tobytes())], pa.binary())], names=["p", "rows"])
+
+
+def _unpacked(least: int) -> Callable[[pa.Table], pa.Table]:
+    def run(group: pa.Table) -> pa.Table:
+        open_up = zstandard.ZstdDecompressor().decompress
+        parts = [np.frombuffer(open_up(x), np.int64).reshape(3, -1) for x in group.column("rows").to_pylist()]
+        k, s, n = summed(*np.concatenate(parts, axis=1))
+        on = n >= least
+        return pa.table({"k": k[on], "s": s[on], "n": n[on]})
+
+    return run
 
 
 def find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -154,22 +170,28 @@ def train(documents: DataFrame, *, share: float = SHARE, least: int = LEAST) ->
     """The tree of all texts of ``documents``."""
     spark, texts = documents.sparkSession, documents.select("text")
 
-    def count(seen: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-        rows = texts.mapInArrow(lambda b: counted(b, seen), "k long, s long, n long")
-        return rows.groupBy("k").agg(F.sum("n").alias("n"), F.min("s").alias("s"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def count(seen: Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray]]], least: int) -> DataFrame:
+        """A table (k, s, n) of what stands ``least`` times or more; a bucket is what about ``BUCKET`` bytes of text give."""
+        buckets = 1 + size // BUCKET
+        rows = texts.mapInArrow(lambda b: counted(b, seen, buckets), "p long, rows binary").repartition(partitions(spark), "p")
+        made = cut(rows.groupBy("p").applyInArrow(_unpacked(least), "k long, s long, n long"))
+        spark._jvm.System.gc()  # lets Spark delete the files of shuffles whose results are tables by now
+        return made
 
     def words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, h, _ in tokens(column):
             yield h, h
 
-    vocabulary = cut(count(words).select("k", "n"))
+    vocabulary = count(words, 1).select("k", "n")
     got = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total, distinct = got[0] or 0, got[1]
     root = (F.col("n") + ADDED) / F.lit(total + ADDED * (distinct + 1))
     nothing = F.lit(0.0)
     parts = [vocabulary.select("k", "n", F.log10(root).alias("base"), nothing.alias("value"), F.lit(1).alias("known"))]
     entries = vocabulary.where(F.col("n") >= least).select("k", F.col("k").alias("w"), "n", root.alias("p"))
-    contexts, level = entries.select("k", "n"), 0
+    contexts, looked_at, level = entries.select("k", "n"), [], 0
     while True:
         level += 1
         entry, start = Filter(entries.select("k")), Filter(contexts.select("k"))
@@ -178,29 +200,16 @@ def train(documents: DataFrame, *, share: float = SHARE, least: int = LEAST) ->
         def seen(column: pa.Array, level=level, shared=shared) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             entry, start = shared.value
             for _, h, at in tokens(column):
-                older = None
-                for length, (places, whole, context, shorter) in enumerate(strings(h, at), 1):
-                    if length < level:
-                        older = np.zeros_like(h)
-                        older[places] = context
-                        continue
-                    if level < 3:  # the contexts were counted as strings
+                for length, (_, whole, context, shorter) in enumerate(strings(h, at), 1):
+                    if length == level:
                         on = entry(shorter) & start(context)
                         yield whole[on], shorter[on]
-                    else:
-                        on = entry(shorter)
-                        yield whole[on], shorter[on]
-                        on = start(older[places])  # the context without its first word
-                        yield context[on], np.zeros(int(on.sum()), np.uint64)
-                    break
-
-        found = cut(count(seen).where(F.col("n") >= least))
-        if level > 2:
-            contexts = found.where("s = 0").select("k", "n")
-        strings_here = found.where("s <> 0") if level > 2 else found
+                        break
+
+        found = count(seen, least)
         of = contexts.select(F.col("k").alias("c"), F.col("n").alias("of"))
         under = entries.select(F.col("k").alias("s"), "w", F.col("p").alias("under"))
-        rows = cut(strings_here.join(under, "s").select("k", "n", "w", "under", context_of("k", "w").alias("c")).join(of, "c"))
+        rows = cut(found.join(under, "s").select("k", "n", "w", "under", context_of("k", "w").alias("c")).join(of, "c"))
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("under")))
         tests = rows.groupBy("c").agg(gain.alias("gain"), F.count("*").alias("m"), F.sum("n").alias("inside"), F.first("of").alias("count"))
         cost = F.col("m") * (0.5 * math.log(max(total, 2)))
@@ -208,13 +217,13 @@ def train(documents: DataFrame, *, share: float = SHARE, least: int = LEAST) ->
         kept = cut(tests.where(F.col("gain") > cost).select("c", "count", (rest / (F.col("count") + SMOOTHING)).alias("left")))
         own = F.col("n") / (F.col("count") + SMOOTHING) + F.col("left") * F.col("under")
         after = cut(rows.join(kept, "c").select("k", "w", "n", "c", own.alias("p"), F.log10(own / F.col("under") / F.col("left")).alias("value")))
-        discard(rows)
+        discard(found, *looked_at)
+        looked_at = [rows]
         if after.isEmpty():
             break
         parts.append(after.select("k", "n", nothing.alias("base"), "value", F.lit(0).alias("known")))
         parts.append(kept.select(F.col("c").alias("k"), F.col("count").alias("n"), nothing.alias("base"), F.log10("left").alias("value"), F.lit(0).alias("known")))
-        contexts = found.select("k", "n") if level == 1 else kept.select(F.col("c").alias("k"))
-        entries = after.select("k", "w", "n", "p")
+        contexts, entries = rows.select("k", "n"), after.select("k", "w", "n", "p")
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)

@@ -184,7 +184,7 @@ def _tree_by_brute_force(tokens):
     """The log10 probability that a tree of these texts (lists that end with 0) gives a text, and the tree's depth."""
     total, words = sum(map(len, tokens)), Counter(w for t in tokens for w in t)
     root = lambda w: (words[w] + 0.1) / (total + 0.1 * (len(words) + 1))
-    states, kept, level = {}, {()}, 0
+    states, kept, level, strings = {}, {()}, 0, {(w,) for w in words if words[w] >= 2}
 
     def p(context, w):
         if not context:
@@ -200,14 +200,17 @@ def _tree_by_brute_force(tokens):
         for t in ([0, *t] for t in tokens):
             for i in range(level, len(t)):
                 following[tuple(t[i - level : i])][t[i]] += 1
-        new = set()
+        new, longer = set(), set()
         for c, ws in following.items():
             entries, of = {w: n for w, n in ws.items() if n >= 2}, sum(ws.values())
-            gain = sum(n * math.log(n / of / p(c[1:], w)) for w, n in entries.items()) if c[1:] in kept else 0
+            if c[1:] not in kept or c not in strings:
+                continue
+            longer |= {(*c, w) for w in entries}
+            gain = sum(n * math.log(n / of / p(c[1:], w)) for w, n in entries.items())
             if gain > len(entries) * 0.5 * math.log(total):
                 new.add(c)
                 states[c] = (of, entries)
-        kept = new
+        kept, strings = new, longer
 
     def score(t):
         return sum(math.log10(p(max((c for c in (tuple([0, *t][j : i + 1]) for j in range(max(0, i + 1 - level), i + 1)) if c in states), key=len, default=()), w)) for i, w in enumerate(t))
