@@ -64,6 +64,13 @@ def test_disclosing_terms_are_replaced_in_whole_documents(spark):
     assert clean[4] == "only <term>, no address" and clean[5:] == [*texts[5:], None]
 
 
+def test_personal_data_moves_each_text_once(spark):
+    docs = documents(spark, ["write to zyxname at me@home.org now"] * 2 + ["write to them at the house now", None] * 9)
+    strings = [f.name for f in pii.detect(docs).schema if f.dataType.simpleString() == "string"]
+    assert strings == ["text"] and "text" not in pii.detect(docs).schema["own"].dataType.names
+    assert [r["text"] for r in pii.sanitised(docs.select("text")).collect()][1:4] == ["write to  at <email> now", "write to them at the house now", None]
+
+
 def test_many_matches_have_right_places(spark):
     text = " ".join(f"u{i}@h.org" for i in range(700))
     got = pii.personal_data(documents(spark, [text])).first()
