@@ -21,11 +21,18 @@ def _sum(a: Column) -> Column:
 
 
 def _uniformity(values: Column) -> Column:
-    """1 less the coefficient of variation, within 0 and 1; 0 for fewer than two values."""
+    """1 less the coefficient of variation, within 0 and 1; 0 for fewer than two values. Squares are summed around the
+    mean so far, so that doubles come out as the SQL's do, to the last bit."""
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("squares"))
+
+    def step(a: Column, x: Column) -> Column:
+        n = a["n"] + 1
+        to = lambda mean: F.struct(n.alias("n"), mean.alias("mean"), (a["squares"] + (x - mean) * (x - a["mean"])).alias("squares"))
+        return let(a["mean"] + (x - a["mean"]) / n, to)
 
     def of(v: Column, mean: Column) -> Column:
         n = F.size(v)
-        spread = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / (n - 1))
+        spread = F.sqrt(F.aggregate(v, start, step, lambda a: a["squares"]) / (n - 1))
         return F.when((n < 2) | (mean == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - spread / mean)))
 
     return let(values, lambda v: let(_sum(v) / F.size(v), lambda mean: of(v, mean)))
