@@ -84,6 +84,15 @@ def test_ties_of_a_chunk_round_as_in_the_sql(spark):
     assert got["sentence_length_uniformity"] == 0.5312  # 0.53125 exactly
 
 
+@pytest.mark.parametrize("order", [1, -1])
+def test_ties_of_a_document_do_not_depend_on_the_order_of_rows(spark, order):
+    shares = [(1, 2), (1, 3), (1, 2), (2, 3)]  # of short sentences; summed from the last on they stay below 1/2
+    rows = [("d", i, " ".join(["a."] * k + ["w " * 9 + "w."] * (n - k))) for i, (k, n) in enumerate(shares)]
+    chunks = spark.createDataFrame(rows[::order], "document_id string, chunk_index int, text string").coalesce(1)
+    got = stylometry.risk(chunks).first()
+    assert got["short_sentence_ratio"] == 0.5 and "short_sentence_ratio" not in got["signals_triggered"]
+
+
 def test_reports_leave_out_what_was_not_run(spark):
     got = analysis.analyze(docs(spark, "One sentence."), None, run_ai_check=False).collect()[0]
     assert (got["automated_writing_risk"], got["plagiarism_match_count"]) == ("none", 0)
