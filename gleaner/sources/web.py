@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -43,8 +45,22 @@ def unescaped(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
-def without_markup(c: Column) -> Column:
-    return collapse(unescaped(F.regexp_replace(c, "<[^>]+>", " ")))
+_CLOSED = re.compile("&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[A-Za-z][A-Za-z0-9]*;)")
+
+
+@F.pandas_udf(T.StringType())
+def unescaped_closed(texts: pd.Series) -> pd.Series:
+    """Only references that end with a semicolon are decoded."""
+
+    def one(m: re.Match) -> str:
+        return html.unescape(m.group()) if m.group(1)[0] == "#" else html5.get(m.group(1), m.group())
+
+    return texts.map(lambda t: None if t is None else _CLOSED.sub(one, t))
+
+
+def without_markup(c: Column, closed: bool = False) -> Column:
+    """Text without tags, references decoded: also those without a semicolon, as browsers do, unless only ``closed``."""
+    return collapse((unescaped_closed if closed else unescaped)(F.regexp_replace(c, "<[^>]+>", " ")))
 
 
 def page_text(c: Column, most: int) -> Column:

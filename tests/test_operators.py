@@ -122,6 +122,17 @@ def test_entry_imports():
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_strip_markup_query_decodes_closed_references_only(spark, tmp_path):
+    from gleaner import queries
+    from gleaner.sources import web
+
+    page = spark.createDataFrame([(1, "<p>a&&amp;&amp</p>b &quot;&ampx; &#65;&#66 &nosuch;"), (2, None)], "page_id long, html string")
+    page.write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["text"] for r in queries.strip_markup(spark, str(tmp_path)).collect()}
+    assert got[1] == 'a&&&amp b "&ampx; A&#66 &nosuch;'
+    assert page.where("page_id = 1").select(web.without_markup(page["html"])).first()[0] == 'a&&& b "&x; AB &nosuch;'
+
+
 def test_html_text_query_reads_whole_pages(spark, tmp_path):
     from gleaner.queries import html_text
 
