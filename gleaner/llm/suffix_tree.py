@@ -82,7 +82,7 @@ class Filter:
     """Which hashes may be in a set: all that are, and some that are not."""
 
     def __init__(self, table: DataFrame) -> None:
-        bits = min(FILTER_BITS, max(16, math.ceil(math.log2(8 * table.count() + 1))))
+        bits = min(FILTER_BITS, max(16, math.ceil(math.log2(32 * table.count() + 1))))
         place = F.col("k").bitwiseAND((1 << bits) - 1)
         rows = table.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k & 63 as int))")).alias("m")).toArrow()
         self.mask, self.words = np.int64((1 << bits) - 1), np.zeros(1 << (bits - 6), np.int64)
@@ -252,10 +252,15 @@ def score(documents: DataFrame, tree: Tree) -> DataFrame:
                 own = base + np.bincount(owner[on], values[place[on]], len(size))
                 known = np.bincount(owner[on], minlength=len(size))
                 asked = [(owner[~on], h[~on], np.ones(int((~on).sum()), bool))]
+                alive = np.ones(len(h), dtype=bool)
                 for length, (places, whole, _, _) in enumerate(strings(h, at), 1):
                     if length >= depth:  # at the last level nothing was kept
                         break
-                    may = maybe(whole)
+                    # a string of the tree without its first word is one too: where the shorter one isn't, none is looked for
+                    may = np.flatnonzero(alive[places])
+                    may = may[maybe(whole[may])]
+                    alive = np.zeros(len(h), dtype=bool)
+                    alive[places[may]] = True
                     of, whole = owner[places[may]], whole[may]
                     place = find(keys, whole)
                     on = place >= 0

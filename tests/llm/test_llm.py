@@ -225,6 +225,13 @@ def _tree_by_brute_force(tokens):
     return score, level - 1
 
 
+def test_suffix_tree_filter_spares_most_strings(spark):
+    keys = lambda a, b: spark.range(a, b).selectExpr("xxhash64(id) as k")
+    held = suffix_tree.Filter(keys(0, 20000))
+    inside, outside = (keys(*x).toPandas()["k"].to_numpy().view(np.uint64) for x in ((0, 20000), (20000, 120000)))
+    assert held(inside).all() and held(outside).mean() < 0.04
+
+
 @pytest.mark.parametrize("share", [suffix_tree.SHARE, 1.0])
 def test_suffix_tree_by_brute_force(spark, share):
     tail = [f"{a} {b} so it goes on to {c}" for a, b, c in (("one", "day", "home"), ("one", "night", "work"), ("two", "day", "rest"), ("two", "night", "play")) for _ in range(40)]
