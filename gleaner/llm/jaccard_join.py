@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import batches_of, components, cut, discard, own_columns, packed, partitions
+from .common import batches_of, components, cut, discard, own_columns, packed, partitions, release
 
 MOST_L, VERIFY_COST, LEAST_HEAVY, TOLD_FROM, HEAVY_TOKENS, BROADCAST_PAIRS = 4, 20, 128, 4, 1 << 20, 500_000
 BATCH_ROWS, BATCH_PAIRS, PAIRS_A_LEADER, TEXTS_A_PART, LONG = 1000, 128, 512, 4096, 20_000
@@ -155,6 +155,7 @@ def _classes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The texts of ``table`` and (node, id, first_id) of their classes. A node is half of a digest; where different
     digests share one, which at any size is rare, their texts get new nodes by the whole digest."""
     texts = table.where("id is not null").drop("token", "df")
+    texts.gleaner_path = table.gleaner_path
     while True:
         seen = cut(texts.where("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.min("doc_id").alias("first_id"), F.min("rest").alias("low"), F.max("rest").alias("high")))
         shared = seen.where("low <> high").select(F.col("node").alias("of"))
@@ -295,6 +296,7 @@ def _joined(documents: DataFrame, n: int, percent: int, bits: int, node_bits: in
     matches = shared.select("token", "part", "node", "n", "pos", F.col("first.node").alias("first_node"), F.col("first.n").alias("first_n"), *sums)
     matches = matches.withColumn("l", F.array_position(F.array(*cost), F.array_min(F.array(*cost))).cast("int"))
     prefix = cut(matches.where(F.col("pos") < base + F.col("l")).select("token", "node", "n", "pos", "l", "first_node", "first_n"))
+    release(spark)
 
     # first round: each token's documents against its leader, the one that has the fewest tokens before it
     leaders = prefix.where("node = first_node").select("token", "node", "n", "pos")
@@ -304,14 +306,18 @@ def _joined(documents: DataFrame, n: int, percent: int, bits: int, node_bits: in
         leaders.join(top, F.col("token") == F.col("of")).select(F.col("t.node").alias("a"), F.col("t.n").alias("na"), F.col("node").alias("b"), F.col("n").alias("nb")),
     ]
     stars = cut(met[0].unionByName(met[1]).where((F.col("a") != F.col("b")) & _similar_sizes(F.col("na"), F.col("nb"), percent)).groupBy("a", "b").count().drop("count"))
+    release(spark)
     links = _verified(stars, texts, classes, n, percent)
     now = components(links)
+    release(spark)
 
     # second round: all pairs of unconnected documents that share enough prefix tokens. A pair that has o common tokens
     # or more has the first l of them where at least o - l tokens follow, in both documents: other places don't count
     placed = prefix.drop("part", "first_node", "first_n").join(now, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sized = placed.groupBy("token", "component").count().groupBy("token").agg(F.count("*").alias("parts"), F.max_by("component", "count").alias("most"))
     left = cut(placed.join(sized.where("parts > 1").select(F.col("token").alias("of"), "most"), F.col("token") == F.col("of")).drop("of"))
+    discard(prefix)
+    release(spark)
     b = left.select("token", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "l", "component")])
     # a pair of different components has one side at least outside the component that holds most of the token's rows
     a = left.where("component <> most").select("token", "most", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "l", "component")])
@@ -330,8 +336,10 @@ def _joined(documents: DataFrame, n: int, percent: int, bits: int, node_bits: in
     enough = (F.col("common") >= F.col("l")) & (F.col("most") * (100 + percent) >= F.col("both") * percent)
     known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = _verified(met.where(enough).select("a", "b").join(known, ["a", "b"], "left_anti"), texts, classes, n, percent)
-    discard(prefix, left, stars)
-    return texts, classes, components(links.unionByName(more))
+    discard(left, stars)
+    ends = components(links.unionByName(more))
+    release(spark)
+    return texts, classes, ends
 
 
 def groups(documents: DataFrame) -> DataFrame:
@@ -341,9 +349,11 @@ def groups(documents: DataFrame) -> DataFrame:
 
 def one_of_each(documents: DataFrame, *, n: int = 5, percent: int = 80) -> DataFrame:
     """``documents`` with one row of each group of near copies, the one of the least doc_id; empty texts all stay."""
-    marked = cut(documents.select(F.monotonically_increasing_id().alias("id"), packed(documents).alias("own")))
+    marked = cut(documents.select(F.monotonically_increasing_id().alias("id"), packed(documents).alias("own")), compression="zstd")
     texts, grouped = _grouped(marked.select("id", F.col("own.doc_id").alias("doc_id"), F.col("own.text").alias("text")), n, percent)
     found = cut(texts.where("n > 0").select("id", "doc_id", "node").join(grouped.select("node", "component"), "node").select("id", "doc_id", "component"))
+    discard(texts)
+    release(documents.sparkSession)
     first = found.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("f"))
     dropped = found.join(first.select(F.col("f.id").alias("id")), "id", "left_anti").select("id")  # by row, not by group
     return marked.join(dropped, "id", "left_anti").select(*own_columns(marked))

@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on nulls, ties, repeated rows, empty tables and further columns."""
 
+import glob
 import hashlib
 import math
 import random
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 
 from gleaner.llm import chat, jaccard_join, lattice, mix, pii, suffix_tree, suffixes, toxicity, urls
-from gleaner.llm.common import components
+from gleaner.llm.common import components, shared_folder
 from gleaner.llm.decontaminate import contamination
 
 DOC = "doc_id long, text string, source string, node long, id string"
@@ -71,6 +72,18 @@ def test_personal_data_moves_each_text_once(spark):
     assert [r["text"] for r in pii.sanitised(docs.select("text")).collect()][1:4] == ["write to  at <email> now", "write to them at the house now", None]
 
 
+def test_texts_without_terms_are_not_moved(spark, monkeypatch):
+    rows, few = spark.range(20000).withColumnRenamed("id", "row"), spark.range(0, 20000, 1000).withColumnRenamed("id", "row")
+    inside, outside = ([r["row"] for r in part.collect()] for part in pii._parted(rows, few))
+    assert sorted(inside + outside) == [*range(20000)] and {*inside} >= {*range(0, 20000, 1000)} and len(inside) < 3000
+    assert pii._parted(rows, few.where("row < 0"))[0].isEmpty()
+    docs = documents(spark, ["write to zyxname at me@home.org now"] * 2 + ["write to them at the house now", None] * 9 + ["see 1.2.3.4"])
+    first = [[str(r[0]) for r in pii.sanitised(docs).select("text").collect()]]
+    monkeypatch.setattr(pii, "FILTER_BITS", 6)  # tells nothing apart
+    first.append([str(r[0]) for r in pii.sanitised(docs).select("text").collect()])
+    assert sorted(first[0]) == sorted(first[1]) == sorted(["write to  at <email> now"] * 2 + ["write to them at the house now", "None"] * 9 + ["see <ip>"])
+
+
 def test_many_matches_have_right_places(spark):
     text = " ".join(f"u{i}@h.org" for i in range(700))
     got = pii.personal_data(documents(spark, [text])).first()
@@ -161,6 +174,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == [0, 3, 4, 5] and got.columns == ["doc_id", "text", "source", "node", "id"]
 
 
+def test_tables_of_words_go_with_the_join(spark):
+    before, words = {*glob.glob(f"{shared_folder(spark).removeprefix('file://')}/gleaner-*")}, 0
+    kept = jaccard_join.one_of_each(documents(spark, prose(8)))
+    for path in {*glob.glob(f"{shared_folder(spark).removeprefix('file://')}/gleaner-*")} - before:
+        words += "words" in spark.read.parquet(path).columns
+    assert words == 0 and kept.count()
+
+
 def test_different_texts_with_null_or_repeated_ids_stay(spark):
     texts = [" ".join(f"{c}{i}" for i in range(12)) for c in "abcde"]
     rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (1, texts[2]), (2, texts[2]), (1, texts[3]), (3, texts[4]), (None, texts[4])]
