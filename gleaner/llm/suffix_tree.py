@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import cut, discard, partitions
+from .common import cut, discard, partitions, release
 
 SHARE, LEAST, ADDED, SMOOTHING = 2.0**-21, 2, 0.1, 2.0
 END = np.uint64(0x452821E638D01377)
@@ -177,18 +177,20 @@ def train(documents: DataFrame, *, share: float = SHARE, least: int = LEAST) ->
         buckets = 1 + size // BUCKET
         rows = texts.mapInArrow(lambda b: counted(b, seen, buckets), "p long, rows binary").repartition(partitions(spark), "p")
         made = cut(rows.groupBy("p").applyInArrow(_unpacked(least), "k long, s long, n long"))
-        spark._jvm.System.gc()  # lets Spark delete the files of shuffles whose results are tables by now
+        release(spark)
         return made
 
     def words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for _, h, _ in tokens(column):
             yield h, h
 
-    vocabulary = count(words, 1).select("k", "n")
+    words_table = count(words, 1)
+    vocabulary = words_table.select("k", "n")
     got = vocabulary.agg(F.sum("n"), F.count("*")).first()
     total, distinct = got[0] or 0, got[1]
     root = (F.col("n") + ADDED) / F.lit(total + ADDED * (distinct + 1))
     nothing = F.lit(0.0)
+    made = [words_table]
     parts = [vocabulary.select("k", "n", F.log10(root).alias("base"), nothing.alias("value"), F.lit(1).alias("known"))]
     entries = vocabulary.where(F.col("n") >= least).select("k", F.col("k").alias("w"), "n", root.alias("p"))
     contexts, looked_at, level = entries.select("k", "n"), [], 0
@@ -207,9 +209,12 @@ def train(documents: DataFrame, *, share: float = SHARE, least: int = LEAST) ->
                         break
 
         found = count(seen, least)
+        shared.destroy()  # its files are on each executor's disk
         of = contexts.select(F.col("k").alias("c"), F.col("n").alias("of"))
         under = entries.select(F.col("k").alias("s"), "w", F.col("p").alias("under"))
         rows = cut(found.join(under, "s").select("k", "n", "w", "under", context_of("k", "w").alias("c")).join(of, "c"))
+        discard(found, *looked_at)
+        release(spark)
         gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("of") / F.col("under")))
         tests = rows.groupBy("c").agg(gain.alias("gain"), F.count("*").alias("m"), F.sum("n").alias("inside"), F.first("of").alias("count"))
         cost = F.col("m") * (0.5 * math.log(max(total, 2)))
@@ -217,8 +222,8 @@ def train(documents: DataFrame, *, share: float = SHARE, least: int = LEAST) ->
         kept = cut(tests.where(F.col("gain") > cost).select("c", "count", (rest / (F.col("count") + SMOOTHING)).alias("left")))
         own = F.col("n") / (F.col("count") + SMOOTHING) + F.col("left") * F.col("under")
         after = cut(rows.join(kept, "c").select("k", "w", "n", "c", own.alias("p"), F.log10(own / F.col("under") / F.col("left")).alias("value")))
-        discard(found, *looked_at)
-        looked_at = [rows]
+        release(spark)
+        looked_at, made = [rows], [*made, kept, after]
         if after.isEmpty():
             break
         parts.append(after.select("k", "n", nothing.alias("base"), "value", F.lit(0).alias("known")))
@@ -228,6 +233,8 @@ def train(documents: DataFrame, *, share: float = SHARE, least: int = LEAST) ->
     for part in parts[1:]:
         union = union.unionByName(part)
     table = cut(union.groupBy("k").agg(F.max("n").alias("n"), F.sum("base").alias("base"), F.sum("value").alias("value"), F.max("known").alias("known")))
+    discard(*looked_at, *made)
+    release(spark)
     top = table.where(F.col("n") >= max(2.0, share * total)).select("k", "base", "value").toArrow()
     k, base, value = (top.column(c).to_numpy() for c in ("k", "base", "value"))
     order = np.argsort(k.view(np.uint64))

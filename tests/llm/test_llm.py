@@ -253,6 +253,13 @@ def test_suffix_tree_filter_spares_most_strings(spark):
     assert held(inside).all() and held(outside).mean() < 0.04
 
 
+def test_suffix_tree_leaves_one_table(spark):
+    tables = lambda: {*glob.glob(f"{shared_folder(spark).removeprefix('file://')}/gleaner-*")}
+    before = tables()
+    tree = suffix_tree.train(documents(spark, ["a b c d"] * 9 + ["a b d c"] * 5))
+    assert tables() - before == {tree.table.gleaner_path.removeprefix("file://")}
+
+
 @pytest.mark.parametrize("share", [suffix_tree.SHARE, 1.0])
 def test_suffix_tree_by_brute_force(spark, share):
     tail = [f"{a} {b} so it goes on to {c}" for a, b, c in (("one", "day", "home"), ("one", "night", "work"), ("two", "day", "rest"), ("two", "night", "play")) for _ in range(40)]
